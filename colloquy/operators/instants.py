@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.runtime import broadcast_if_small, once
+from colloquy.runtime import broadcast_if_small, cut, once
 
 EXACT_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
@@ -212,20 +212,24 @@ def normalise_instants(
     long = base.withColumn("_p", F.explode(pairs)).select("_id", "_stream", "_stated", "_a", "_p.field", "_p.raw").where(F.col("raw").isNotNull())
     if wanted is not None:
         long = long.where(wanted)
-    long = parse_parts(once(long, _anchor=anchor_us).drop("_a"), "raw", zones).where("_ok")
+    long = once(long, _anchor=anchor_us).drop("_a")
     local_only = F.col("_epoch").isNull() & F.col("_offs").isNull() & F.col("_named").isNull()
-    orphan = local_only & F.col("_stated").isNull()
+    parsed = parse_parts(long, "raw", zones).where("_ok")
 
     def out(x: DataFrame, zone: Column, estimated: bool) -> DataFrame:
         return x.select(F.col("_id").alias(row_id), "field", "raw", nearest(_readings(zone), F.col("_anchor")).alias("utc_us"), F.lit(estimated).alias("zone_estimated"))
 
-    known = out(long.where(~orphan), F.coalesce("_named", "_stated"), False)
-    if not candidates:
-        return known.where(F.col("utc_us").isNotNull())
-    orphans = long.where(orphan & F.col("_stream").isNotNull())
-    evidence = long.where(local_only).join(orphans.select("_stream").distinct(), "_stream", "left_semi")
+    known = out(parsed.where(~(local_only & F.col("_stated").isNull())), F.coalesce("_named", "_stated"), False).where(F.col("utc_us").isNotNull())
+    # Rows without a stated zone are few: they alone are parsed to see whether any zone has to be estimated, and only
+    # the streams they belong to are read as evidence.
+    homeless = long.where(F.col("_stated").isNull() & F.col("_stream").isNotNull())
+    orphans = parse_parts(homeless, "raw", zones).where(F.col("_ok") & local_only)
+    streams = cut(orphans.select("_stream").distinct())
+    if not candidates or streams.isEmpty():
+        return known
+    evidence = parse_parts(long.join(broadcast_if_small(streams), "_stream", "left_semi"), "raw", zones).where(F.col("_ok") & local_only)
     estimated = estimate_zones(evidence, candidates, list(after))
-    return known.unionByName(out(orphans.join(estimated, "_stream"), F.col("_zone"), True)).where(F.col("utc_us").isNotNull())
+    return known.unionByName(out(orphans.join(estimated, "_stream"), F.col("_zone"), True).where(F.col("utc_us").isNotNull()))
 
 
 def segment_instants(segments: DataFrame, tenants: DataFrame, **kw) -> DataFrame:
