@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.copies import phrase_copies
 from colloquy.llm.pairs import segment_pairs
 from colloquy.llm.topn import instance_keyphrases
+from colloquy.llm.turns import speaker_turns
 from colloquy.runtime import table
 
 
@@ -24,7 +25,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return segment_pairs(table(spark, d, "segment_requests")).select("item_a", "item_b", "n_together")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns(table(spark, d, "spoken_segments"), table(spark, d, "speakers"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 _BARE = "lower(regexp_replace(originalForm, '[^\\p{L}\\p{N}\\p{M}]+', '', 'g'))"
 _SCORE = "score.pagerank, score.segsim, score.boosted_sim, score.norm_boosted_sim, score.loc, score is null"
