@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm.copies import phrase_copies
+from colloquy.llm.mixing import mix_sources, share_report
+from colloquy.llm.packing import fill_report, pack_documents
 from colloquy.llm.pairs import segment_pairs
+from colloquy.llm.tokens import n_tokens
 from colloquy.llm.topn import instance_keyphrases
 from colloquy.llm.turns import speaker_turns
-from colloquy.runtime import table
+from colloquy.runtime import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +33,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(table(spark, d, "spoken_segments"), table(spark, d, "speakers"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their tokens, counted once."""
+    return cut(table(spark, d, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_packing(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_sizes(spark, d), table(spark, d, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p8_mixture(spark, d), table(spark, d, "source_targets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found,
+    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+}
 
 _BARE = "lower(regexp_replace(originalForm, '[^\\p{L}\\p{N}\\p{M}]+', '', 'g'))"
 _SCORE = "score.pagerank, score.segsim, score.boosted_sim, score.norm_boosted_sim, score.loc, score is null"
