@@ -11,6 +11,7 @@ from colloquy.llm.copies import phrase_copies
 from colloquy.llm.mixing import mix_sources, share_report
 from colloquy.llm.packing import fill_report, pack_documents
 from colloquy.llm.pairs import segment_pairs
+from colloquy.llm.subjects import assign_subjects, composition
 from colloquy.llm.tokens import n_tokens
 from colloquy.llm.topn import instance_keyphrases
 from colloquy.llm.turns import speaker_turns
@@ -54,9 +55,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(p8_mixture(spark, d), table(spark, d, "source_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return composition(p9_found(spark, d), _sizes(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found,
-    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
 _BARE = "lower(regexp_replace(originalForm, '[^\\p{L}\\p{N}\\p{M}]+', '', 'g'))"
