@@ -2,18 +2,19 @@
 
 Labelling functions vote on each (document, subject): distinct lexicon terms in the title, the abstract, the claims and
 the description (sections), the share of the document's lexicon terms that are the subject's (lexicon), the applicant
-(address) and the source feed. Votes are small integers. Sentences that mention a field only for comparison or
+(address), the source feed and the other members of the patent family. Votes are small integers. Sentences that mention a field only for comparison or
 background do not vote. A latent-class model with one accuracy table per labelling function, learned by EM over the
 counts of all vote patterns (labelled documents are clamped), gives posterior probabilities; documents get the subjects
 above a threshold fitted on the labelled documents.
 
-The lexicon is learned twice on bounded samples: from labelled documents, then from these and a sample of others with
-confident posteriors of the first round. Everything after that covers all documents.
+The lexicon is learned on bounded samples: from labelled documents, then again from these and a sample of others with
+confident posteriors. Everything after that covers all documents.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from colloquy.runtime import cut
 
 #: Bounds of the samples the lexicon is learned on, and of the lexicon.
-LABELLED_DOCS, OTHER_DOCS, LEXICON_TERMS = 20_000, 4_000, 20_000
+LABELLED_DOCS, OTHER_DOCS, LEXICON_TERMS = 5_000, 3_000, 20_000
+#: Times the lexicon is learned again from labelled documents and confident guesses on the sample.
+ROUNDS = 2
+#: Vote of a text in which no term speaks for any subject.
+ABSTAINS = 7
 
 #: Phrases of sentences that mention a field only for comparison or background.
 BACKGROUND = [
@@ -45,15 +50,23 @@ SECTIONS = ("title", "abstract", "claims", "description")
 LEVELS = {"title": (0, 1), "abstract": (0, 1, 2, 4), "claims": (0, 1, 2, 4), "description": (0, 1, 3, 6, 12), "share": (0.0, 0.04, 0.12, 0.3, 0.5)}
 
 
+def background_spans(low: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sentences (start, end) of ``low`` around the ``cues`` (start, end in ascending order), without overlaps."""
+    spans, at = [], 0
+    for start, end in cues:
+        if start < at:
+            continue
+        a = max(low.rfind(". ", at, start) + 1, low.rfind("\n\n", at, start) + 1, low.rfind("]", max(at, start - 400), start) + 1, at)
+        ends = [e for e in (low.find(". ", end), low.find(".\n", end), low.find("\n\n", end), low.find(".<", end)) if e >= 0]
+        at = min(ends) if ends else len(low)
+        spans.append((a, at))
+    return spans
+
+
 def foreground(low: str) -> str:
-    """``low`` (lower case) with the sentences blanked that hold a background phrase; length and line breaks stay."""
+    """``low`` (lower case) with the sentences blanked that hold a background phrase; its length stays."""
     out, at = [], 0
-    for m in _CUES.finditer(low):
-        if m.start() < at:
-            continue
-        a = max(low.rfind(". ", 0, m.start()) + 1, low.rfind("\n\n", 0, m.start()) + 1, low.rfind("]", max(0, m.start() - 400), m.start()) + 1, at)
-        ends = [e for e in (low.find(". ", m.end()), low.find(".\n", m.end()), low.find("\n\n", m.end()), low.find(".<", m.end())) if e >= 0]
-        b = min(ends) if ends else len(low)
+    for a, b in background_spans(low, [m.span() for m in _CUES.finditer(low)]):
         out += [low[at:a], " " * (b - a)]
         at = b
     out.append(low[at:])
@@ -134,25 +147,34 @@ def vote(docs: DataFrame, lexicon: dict[str, str]) -> DataFrame:
         machine = ahocorasick.Automaton()
         for i, t in enumerate(terms):
             machine.add_word(t, (i, len(t), lexicon[t]))
-        if terms:
-            machine.make_automaton()
+        for t in BACKGROUND:
+            machine.add_word(t, (-1, len(t), ""))
+        machine.make_automaton()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if not text or not terms:
                     continue
-                low = foreground(text.lower())
-                a, d, c = section_starts(low)
-                n, seen = len(low), defaultdict(lambda: [set(), set(), set(), set()])
+                low = text.lower()
+                n, hits, cues = len(low), [], []
                 for end, (i, size, subject) in machine.iter(low):
                     start = end - size + 1
-                    if (start and low[start - 1].isalnum()) or (end + 1 < n and low[end + 1].isalnum()):
+                    if i < 0:
+                        cues.append((start, end + 1))
+                    elif not ((start and low[start - 1].isalnum()) or (end + 1 < n and low[end + 1].isalnum())):
+                        hits.append((start, i, subject))
+                spans = background_spans(low, cues)
+                starts, ends = [x for x, _ in spans], [x for _, x in spans]
+                a, d, c = section_starts(low)
+                seen = defaultdict(lambda: [set(), set(), set(), set()])
+                for start, i, subject in hits:
+                    if spans and (at := bisect_right(starts, start)) and start < ends[at - 1]:
                         continue
                     seen[subject][0 if start < a else 1 if start < d else 3 if start < c else 2].add(i)
-                total = sum(len(set().union(*s)) for s in seen.values())
-                for subject, s in seen.items():
-                    own = len(set().union(*s))
-                    votes = [_level(len(x), LEVELS[name]) for x, name in zip(s, SECTIONS, strict=True)]
+                total = sum(len(set().union(*x)) for x in seen.values())
+                for subject, x in seen.items():
+                    own = len(set().union(*x))
+                    votes = [_level(len(y), LEVELS[name]) for y, name in zip(x, SECTIONS, strict=True)]
                     rows.append((doc, subject, [*votes, _level(own / total, LEVELS["share"])]))
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "votes"])
 
@@ -220,46 +242,78 @@ def best_threshold(patterns: list, posterior: dict) -> float:
     return float(np.clip(best[1], 0.1, 0.9))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, lexicon: dict[str, str]) -> DataFrame:
-    """(``doc_id``, ``subject``, ``posterior``, ``threshold``) for every document and subject with a vote."""
-    spark = docs.sparkSession
-    schema = "subject string, votes array<int>, posterior double, threshold double"
-    known = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
-    by_applicant, by_source = address_votes(docs, known, "applicant"), address_votes(docs, known, "source")
-    voted = cut(vote(docs, lexicon))
-    meta = docs.select("doc_id", "applicant", "source")
-    votes = voted.join(meta, "doc_id").join(by_applicant.withColumnRenamed("level", "la"), ["applicant", "subject"], "left").join(F.broadcast(by_source.withColumnRenamed("level", "ls").limit(LEXICON_TERMS)), ["source", "subject"], "left")
-    votes = votes.select("doc_id", "subject", F.concat("votes", F.array(F.coalesce("la", F.lit(0)), F.coalesce("ls", F.lit(0)))).alias("votes"))
-    marked = known.select("doc_id").distinct().withColumn("lab", F.lit(True))
-    votes = cut(votes.join(marked, "doc_id", "left").join(known.withColumn("yes", F.lit(True)), ["doc_id", "subject"], "left"))
+def _fit(votes: DataFrame, n_docs: int, n_lab: int) -> DataFrame:
+    """``votes`` (doc_id, subject, votes, lab, yes, ...) with ``posterior`` and ``threshold`` of the latent model."""
     one = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     # bounded: levels to the power of the labelling functions, times the subjects
     counts = votes.groupBy("subject", "votes").agg(one(F.col("lab").isNull()).alias("u"), one(F.col("yes").isNotNull()).alias("p"), one(F.col("lab").isNotNull() & F.col("yes").isNull()).alias("n")).collect()
     patterns = [(r["subject"], tuple(r["votes"]), r["u"], r["p"], r["n"]) for r in counts]
-    n_docs, n_lab = docs.count(), marked.count()
     post = fit_latent(patterns, n_docs - n_lab, n_lab, sorted({p[0] for p in patterns}))
     threshold = best_threshold(patterns, post)
-    rows = spark.createDataFrame([(s, list(v), q, threshold) for (s, v), q in post.items()], schema)
-    return votes.join(rows, ["subject", "votes"]).select("doc_id", "subject", "posterior", "threshold")
+    rows = votes.sparkSession.createDataFrame([(s, list(v), q, threshold) for (s, v), q in post.items()], "subject string, votes array<int>, posterior double, threshold double")
+    return votes.join(F.broadcast(rows), ["subject", "votes"])
+
+
+def family_votes(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(``doc_id``, ``subject``, ``lf``): how sure the other members of a document's family are of a subject.
+
+    ``judged`` is (``doc_id``, ``subject``, ``q``); a family is the documents with one ``family_id``. Level 1 is "no",
+    4 is "surely"; documents without family or other members have no row.
+    """
+    member = docs.where("family_id is not null").select("doc_id", "family_id")
+    size = member.groupBy("family_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    total = judged.join(member, "doc_id").groupBy("family_id", "subject").agg(F.sum("q").alias("t")).where("t >= 0.2").join(size, "family_id")
+    own = judged.select("doc_id", "subject", "q")
+    each = member.join(total, "family_id").join(own, ["doc_id", "subject"], "left")
+    mean = (F.col("t") - F.coalesce("q", F.lit(0.0))) / (F.col("m") - 1)
+    return each.select("doc_id", "subject", F.when(mean < 0.2, 1).when(mean < 0.5, 2).when(mean < 0.8, 3).otherwise(4).alias("lf"))
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+    """(``doc_id``, ``subject``, ``posterior``, ``threshold``) for every document and subject with a vote.
+
+    The model is fitted twice: on the votes of the texts, sources and applicants, and again with the vote of the other
+    family members, whose first posteriors (or labels) it counts.
+    """
+    known = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
+    by_applicant, by_source = address_votes(docs, known, "applicant"), address_votes(docs, known, "source")
+    meta = docs.select("doc_id", "applicant", "source")
+    marked = known.select("doc_id").distinct().withColumn("lab", F.lit(True))
+    n_docs, n_lab = docs.count(), marked.count()
+    voted = vote(docs, lexicon).join(meta, "doc_id").join(by_applicant.withColumnRenamed("level", "la"), ["applicant", "subject"], "left").join(F.broadcast(by_source.withColumnRenamed("level", "ls").limit(LEXICON_TERMS)), ["source", "subject"], "left")
+    voted = voted.select("doc_id", "subject", F.concat("votes", F.array(F.coalesce("la", F.lit(0)), F.coalesce("ls", F.lit(0)))).alias("votes"))
+    voted = cut(voted.join(marked, "doc_id", "left").join(known.withColumn("yes", F.lit(True)), ["doc_id", "subject"], "left"))
+    first = _fit(voted, n_docs, n_lab).where("lab is null").select("doc_id", "subject", F.col("posterior").alias("q"))
+    judged = first.unionByName(known.withColumn("q", F.lit(1.0)))
+    # Where the text speaks for other subjects only, its silence is a vote; where it says nothing at all, it abstains.
+    speaks = voted.select("doc_id").distinct().withColumn("_t", F.lit(True))
+    none = F.concat(F.array_repeat(F.when(F.col("_t"), 0).otherwise(ABSTAINS), len(LEVELS)), F.array(F.lit(0), F.lit(0)))
+    family = family_votes(docs, judged).join(speaks, "doc_id", "left")
+    both = voted.select("doc_id", "subject", "votes").join(family, ["doc_id", "subject"], "full")
+    both = both.select("doc_id", "subject", F.concat(F.coalesce("votes", none), F.array(F.coalesce("lf", F.lit(0)))).alias("votes"))
+    both = cut(both.join(marked, "doc_id", "left").join(known.withColumn("yes", F.lit(True)), ["doc_id", "subject"], "left"))
+    return _fit(both, n_docs, n_lab).select("doc_id", "subject", "posterior", "threshold")
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(``doc_id``, ``subject``): every subject of every document.
 
-    ``documents`` needs ``doc_id, text, applicant, source``; ``labels`` is (``doc_id``, ``subject``), all subjects of some
+    ``documents`` needs ``doc_id, text, applicant, source, family_id``; ``labels`` is (``doc_id``, ``subject``), all subjects of some
     documents; these documents keep their labels. Documents with a null id are left out; without text, terms or labels a
     document has no subject. Repeated rows give one result. Extra columns are ignored.
     """
-    docs = documents.where("doc_id is not null").select("doc_id", "text", "applicant", "source")
+    docs = documents.where("doc_id is not null").select("doc_id", "text", "applicant", "source", "family_id")
     known = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     chosen = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id")).limit(LABELLED_DOCS)
-    others = docs.select("doc_id").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(OTHER_DOCS)
+    by_family = F.xxhash64(F.coalesce("family_id", -F.col("doc_id")))  # families are sampled whole
+    others = docs.join(known, "doc_id", "left_anti").select("doc_id", by_family.alias("_h")).orderBy("_h", "doc_id").limit(OTHER_DOCS).drop("_h")
     ids = chosen.unionByName(others.withColumn("subjects", F.lit(None).cast("array<string>")))
     sample = cut(docs.join(F.broadcast(ids), "doc_id"))
     lexicon = learn_lexicon(sample.where("subjects is not null"))
-    first = posteriors(sample.drop("subjects"), known, lexicon).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
-    again = sample.join(first, "doc_id", "left").withColumn("subjects", F.coalesce("subjects", "guessed")).where("subjects is not null")
-    lexicon = learn_lexicon(again) or lexicon
+    for _ in range(ROUNDS):
+        guessed = posteriors(sample.drop("subjects"), known, lexicon).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
+        again = sample.join(guessed, "doc_id", "left").withColumn("subjects", F.coalesce("subjects", "guessed")).where("subjects is not null")
+        lexicon = learn_lexicon(again) or lexicon
     found = posteriors(docs, known, lexicon).where(F.col("posterior") >= F.col("threshold")).select("doc_id", "subject")
     found = found.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
     kept = known.join(docs.select("doc_id"), "doc_id", "left_semi")
