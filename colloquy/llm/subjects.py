@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,23 +91,20 @@ def grams(text: str | None) -> set[str]:
     return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}  # noqa: B905
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(``term``, ``subject``, ``n``) over ``docs`` (``text``, ``subjects`` ARRAY<STRING>); subject '' counts all documents."""
+def with_grams(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``text``) plus ``terms``: the distinct words and word pairs of each foreground."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for pdf in batches:
-            for text, subjects in zip(pdf["text"], pdf["subjects"], strict=True):
-                for g in grams(text):
-                    n[(g, "")] += 1
-                    for s in subjects:
-                        n[(g, s)] += 1
-            if len(n) > 500_000:
-                yield pd.DataFrame([(t, s, c) for (t, s), c in n.items()], columns=["term", "subject", "n"])
-                n.clear()
-        yield pd.DataFrame([(t, s, c) for (t, s), c in n.items()], columns=["term", "subject", "n"])
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([list(grams(t)) for t in texts])
+
+    return docs.withColumn("terms", F.pandas_udf(split, "array<string>")("text"))
 
-    return docs.select("text", "subjects").mapInPandas(count, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(``term``, ``subject``, ``n``) over ``docs`` (``terms``, ``subjects``); subject '' counts all documents."""
+    each = docs.select(F.explode("terms").alias("term"), F.concat(F.array(F.lit("")), "subjects").alias("subjects"))
+    return each.select("term", F.explode("subjects").alias("subject")).groupBy("term", "subject").agg(F.count(F.lit(1)).alias("n"))
 
 
 def learn_lexicon(docs: DataFrame, least: int = 3, purity: float = 0.55, surprise: float = 4.0, terms: int = LEXICON_TERMS) -> dict[str, str]:
@@ -308,10 +305,10 @@ def assign_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     by_family = F.xxhash64(F.coalesce("family_id", -F.col("doc_id")))  # families are sampled whole
     others = docs.join(known, "doc_id", "left_anti").select("doc_id", by_family.alias("_h")).orderBy("_h", "doc_id").limit(OTHER_DOCS).drop("_h")
     ids = chosen.unionByName(others.withColumn("subjects", F.lit(None).cast("array<string>")))
-    sample = cut(docs.join(F.broadcast(ids), "doc_id"))
+    sample = cut(with_grams(docs.join(F.broadcast(ids), "doc_id")))
     lexicon = learn_lexicon(sample.where("subjects is not null"))
     for _ in range(ROUNDS):
-        guessed = posteriors(sample.drop("subjects"), known, lexicon).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
+        guessed = posteriors(sample.drop("subjects", "terms"), known, lexicon).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
         again = sample.join(guessed, "doc_id", "left").withColumn("subjects", F.coalesce("subjects", "guessed")).where("subjects is not null")
         lexicon = learn_lexicon(again) or lexicon
     found = posteriors(docs, known, lexicon).where(F.col("posterior") >= F.col("threshold")).select("doc_id", "subject")
