@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import problems
+from colloquy.plans import graph_queries, problems, text_queries
 
-MODULES = [problems]
-FLAGSHIP = "p4_found"
+MODULES = [problems, text_queries, graph_queries]
+FLAGSHIP = "cooccurrence_top_words"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
