@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import graph_queries, problems, text_queries
+from colloquy.plans import graph_queries, problems, ranking_queries, text_queries
 
-MODULES = [problems, text_queries, graph_queries]
+MODULES = [problems, text_queries, graph_queries, ranking_queries]
 FLAGSHIP = "cooccurrence_top_words"
 
 
