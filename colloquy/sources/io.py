@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from colloquy.functions.ids import dashed
 
-SEGMENT = T._parse_datatype_string(
-    "id string, originalText string, startTime string, endTime string, duration long, recordingId string, spokenBy string, languageCode string, transcriber string, "
-    "status string, transcriptId string, createdAt string, updatedAt string, confidence double, deleted boolean, deletedAt string, tenantId string"
-)
+_TEXTS = ("id", "originalText", "startTime", "endTime", "recordingId", "spokenBy", "languageCode", "transcriber", "status", "transcriptId", "createdAt", "updatedAt", "deletedAt", "tenantId")
+SEGMENT = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in _TEXTS],
+    T.StructField("duration", T.LongType()), T.StructField("confidence", T.DoubleType()), T.StructField("deleted", T.BooleanType()),
+])
 REQUEST = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("contextId", "instanceId", "mindId", "relativeTime")],
     T.StructField("limit", T.IntegerType()), T.StructField("populateGraph", T.BooleanType()), T.StructField("segments", T.ArrayType(SEGMENT)),
