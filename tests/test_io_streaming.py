@@ -45,9 +45,8 @@ def _stream(spark, tmp_path, rows, schema):
 def test_session_state(spark, tmp_path):
     rows = [[("s", 1, "started", "m"), ("s", 2, "segment", None), ("s", 3, "segment", None), ("t", 1, "segment", None), ("u", 1, "started", "n"), ("u", 2, "ended", None)]]
     q = sessions.session_state(_stream(spark, tmp_path, rows, "session string, seq long, event string, mind string"), "default")
-    run = q.writeStream.outputMode("update").format("memory").queryName("session_state").option("checkpointLocation", str(tmp_path / "c")).start()
-    run.processAllAvailable()
-    run.stop()
+    run = q.writeStream.outputMode("update").format("memory").queryName("session_state").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
     got = {r["session"]: (r["mind"], r["segments"], r["ended"]) for r in spark.table("session_state").collect()}
     assert got == {"s": ("m", 2, False), "t": ("default", 1, False), "u": ("n", 0, True)}
 
@@ -58,9 +57,8 @@ def test_incremental_word_graph_equals_batch(spark, tmp_path):
     rows = [[("g", "alpha beta gamma")], [("g", "alpha beta delta"), ("h", "one two")]]
     stream = _stream(spark, tmp_path, rows, "graph string, text string")
     path = str(tmp_path / "edges")
-    run = stream.writeStream.foreachBatch(sessions.merge_word_graph(path)).option("checkpointLocation", str(tmp_path / "c")).start()
-    run.processAllAvailable()
-    run.stop()
+    run = stream.writeStream.foreachBatch(sessions.merge_word_graph(path)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
     batch = build_word_graph(spark.createDataFrame([r for p in rows for r in p], "graph string, text string"), F.col("graph"), F.col("text"))
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(map(tuple, batch.collect()))
 
@@ -73,7 +71,6 @@ def test_membership_latest_wins(spark):
 def test_windowed_counts(spark, tmp_path):
     rows = [[("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 00:07:00", "b")]]
     s = _stream(spark, tmp_path, rows, "t string, event_type string").withColumn("ts", F.to_timestamp("t"))
-    run = sessions.windowed_counts(s, "ts").writeStream.outputMode("complete").format("memory").queryName("wc").option("checkpointLocation", str(tmp_path / "c")).start()
-    run.processAllAvailable()
-    run.stop()
+    run = sessions.windowed_counts(s, "ts").writeStream.outputMode("complete").format("memory").queryName("wc").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("wc").collect()) == [1, 2]
