@@ -56,7 +56,7 @@ def background_spans(low: str, cues: list[tuple[int, int]]) -> list[tuple[int, i
     for start, end in cues:
         if start < at:
             continue
-        a = max(low.rfind(". ", at, start) + 1, low.rfind("\n\n", at, start) + 1, low.rfind("]", max(at, start - 400), start) + 1, at)
+        a = max(low.rfind(". ", at, start) + 1, low.rfind(".\n", at, start) + 1, low.rfind("\n\n", at, start) + 1, low.rfind("]", max(at, start - 400), start) + 1, at)
         ends = [e for e in (low.find(". ", end), low.find(".\n", end), low.find("\n\n", end), low.find(".<", end)) if e >= 0]
         at = min(ends) if ends else len(low)
         spans.append((a, at))
