@@ -266,14 +266,12 @@ def family_votes(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return each.select("doc_id", "subject", F.when(mean < 0.2, 1).when(mean < 0.5, 2).when(mean < 0.8, 3).otherwise(4).alias("lf"))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+def posteriors(docs: DataFrame, known: DataFrame, lexicon: dict[str, str], by_applicant: DataFrame, by_source: DataFrame) -> DataFrame:
     """(``doc_id``, ``subject``, ``posterior``, ``threshold``) for every document and subject with a vote.
 
     The model is fitted twice: on the votes of the texts, sources and applicants, and again with the vote of the other
-    family members, whose first posteriors (or labels) it counts.
+    family members, whose first posteriors (or labels) it counts. ``known`` has each label once.
     """
-    known = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
-    by_applicant, by_source = address_votes(docs, known, "applicant"), address_votes(docs, known, "source")
     meta = docs.select("doc_id", "applicant", "source")
     marked = known.select("doc_id").distinct().withColumn("lab", F.lit(True))
     n_docs, n_lab = docs.count(), marked.count()
@@ -300,7 +298,8 @@ def assign_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     document has no subject. Repeated rows give one result. Extra columns are ignored.
     """
     docs = documents.where("doc_id is not null").select("doc_id", "text", "applicant", "source", "family_id")
-    known = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
+    known = cut(labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct())
+    address = [cut(address_votes(docs, known, c)) for c in ("applicant", "source")]
     chosen = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id")).limit(LABELLED_DOCS)
     by_family = F.xxhash64(F.coalesce("family_id", -F.col("doc_id")))  # families are sampled whole
     others = docs.join(known, "doc_id", "left_anti").select("doc_id", by_family.alias("_h")).orderBy("_h", "doc_id").limit(OTHER_DOCS).drop("_h")
@@ -308,10 +307,10 @@ def assign_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     sample = cut(with_grams(docs.join(F.broadcast(ids), "doc_id")))
     lexicon = learn_lexicon(sample.where("subjects is not null"))
     for _ in range(ROUNDS):
-        guessed = posteriors(sample.drop("subjects", "terms"), known, lexicon).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
+        guessed = posteriors(sample.drop("subjects", "terms"), known, lexicon, *address).where("posterior >= 0.8").groupBy("doc_id").agg(F.collect_set("subject").alias("guessed"))
         again = sample.join(guessed, "doc_id", "left").withColumn("subjects", F.coalesce("subjects", "guessed")).where("subjects is not null")
         lexicon = learn_lexicon(again) or lexicon
-    found = posteriors(docs, known, lexicon).where(F.col("posterior") >= F.col("threshold")).select("doc_id", "subject")
+    found = posteriors(docs, known, lexicon, *address).where(F.col("posterior") >= F.col("threshold")).select("doc_id", "subject")
     found = found.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
     kept = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     return found.unionByName(kept).distinct()
