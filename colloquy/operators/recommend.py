@@ -22,8 +22,11 @@ def lsh_buckets(vectors: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            signs = (np.stack([np.asarray(x, float) for x in v]) @ flat.T > 0).reshape(len(v), tables, bits) if len(v) else np.zeros((0, tables, bits))
-            yield pd.Series(list((signs * powers).sum(axis=2)))
+            out: list[np.ndarray] = []
+            for at in range(0, len(v), 256):  # a block's signs are rows x tables x bits
+                signs = (np.stack([np.asarray(x, float) for x in v.iloc[at : at + 256]]) @ flat.T > 0).reshape(-1, tables, bits)
+                out.extend(signs @ powers)
+            yield pd.Series(out, dtype=object)
 
     return vectors.where("vec is not null").select(key, F.pandas_udf(run, "array<long>")("vec").alias("buckets"))
 

@@ -154,3 +154,18 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])], "a array<double>, b array<double>")
     got = [r["c"] for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert abs(got[0] - 0.70710678) < 1e-6 and got[1:] == [None, None]
+
+
+def test_lsh_recall_of_the_registered_index(spark):
+    import numpy as np
+
+    from colloquy.plans import ranking_queries as rq
+
+    rows = rq._vectors(spark, "/root/testdata/sf0.1").orderBy("vec_id").collect()
+    ids, v = [r["vec_id"] for r in rows], np.array([r["vec"] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    b = rq._index(spark, "/root/testdata/sf0.1")
+    m = recommend.lsh_matches(b.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "buckets"), b.withColumnRenamed("vec_id", "user"), "user")
+    met = {(r["query"], r["user"]) for r in m.select("query", "user").collect()}
+    near = [(q, ids[j]) for i, q in enumerate(ids) if q % 100 == 0 for j in [j for j in np.argsort(-(v @ v[i])) if j != i][:10]]
+    assert sum(x in met for x in near) >= 0.9 * len(near)
