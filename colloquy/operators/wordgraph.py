@@ -5,11 +5,15 @@ Graphs are DataFrames: ``edges(graph, src, dst)`` with ``src < dst`` once per ed
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.tagging import _TOKEN, default_tag
 from colloquy.functions.text import STOP_WORDS, words
 from colloquy.runtime import cut
 
@@ -77,8 +81,78 @@ def normalize_by_degree(ranks: DataFrame, degrees: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.coalesce(F.try_divide("pagerank", "degree"), "pagerank")).select("graph", "word", "pagerank", "score")
 
 
+#: Tags whose words are nodes of the word graph.
+SYNTACTIC = {"JJ", "JJR", "JJS", "NN", "NNP", "NNS", "VB", "VBP", "NNPS", "FW"}
+
+
+def _singular(w: str) -> str:
+    """``text.lemma`` of one word."""
+    if len(w) < 4 or re.search("(?:ss|us|is)$", w):
+        return w
+    if w.endswith("ies"):
+        return w[:-3] + "y"
+    return w[:-2] if re.search("(?:sses|xes|ches|shes)$", w) else w.removesuffix("s")
+
+
+def _node_scores(n: int, pairs: set[tuple[int, int]]) -> np.ndarray:
+    """PageRank of ``n`` nodes by degree; the raw value of a node without neighbours, whose mass goes to all nodes."""
+    e = np.array(sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]}), dtype=np.int64).reshape(-1, 2)
+    src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+    deg = np.bincount(src, minlength=n)
+    over, r = np.maximum(deg, 1), np.full(n, 1 / max(n, 1))
+    for _ in range(100):
+        new = DAMPING * (np.bincount(dst, (r / over)[src], n) + r[deg == 0].sum() / n) + (1 - DAMPING) / n if n else r
+        done = np.abs(new - r).sum() < n * 1e-6
+        r = new
+        if done:
+            break
+    return r / over
+
+
+def keyword_tokens(df: DataFrame, graph: Column, text_id: Column, text: Column, tag: Callable[[str], str] = default_tag, window: int = 4, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(``graph``, ``text_id``, ``pos``, ``word``, ``tag``, ``score``): every token, marked by the word graph of its graph.
+
+    Nodes are the words with a tag of SYNTACTIC that are no stop words, plurals in their singular. ``tag`` is k for a node, p
+    for a plural of a node, e for others; a plural without a node is left out. ``score`` is the node's degree-normalised
+    PageRank, null where a run of keywords breaks. One task per graph (a session).
+    """
+    common = set(stop)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tags: dict[str, str] = {}
+        at: dict[str, int] = {}
+        pairs: set[tuple[int, int]] = set()
+        texts = []
+        for i, t in zip(pdf["text_id"], pdf["text"], strict=True):
+            seen = []
+            for w in _TOKEN.findall(t):
+                if w not in tags:
+                    tags[w] = tag(w)
+                seen.append((w.lower(), tags[w]))
+            texts.append((i, seen))
+            line = [at.setdefault(_singular(w) if p == "NNS" else w, len(at)) for w, p in seen if p in SYNTACTIC and w not in common]
+            for k in range(1, window):
+                pairs.update(zip(line, line[k:]))  # noqa: B905
+        score = _node_scores(len(at), pairs).tolist()
+        rows = []
+        for i, seen in texts:
+            plural = {w for w, p in seen if p == "NNS"}
+            for pos, (w, _) in enumerate(seen):
+                if w in plural:
+                    if (node := _singular(w)) in at:
+                        rows.append((key[0], i, pos, w, "p", score[at[node]]))
+                elif w in at:
+                    rows.append((key[0], i, pos, w, "k", None if w in common else score[at[w]]))
+                else:
+                    rows.append((key[0], i, pos, w, "e", None))
+        return pd.DataFrame(rows, columns=["graph", "text_id", "pos", "word", "tag", "score"])
+
+    texts = df.select(graph.alias("graph"), text_id.alias("text_id"), text.alias("text")).where("text is not null")
+    return texts.groupBy("graph").applyInPandas(run, "graph string, text_id long, pos long, word string, tag string, score double").withColumn("score", F.nanvl("score", F.lit(None)))
+
+
 def keyword_runs(tokens: DataFrame) -> DataFrame:
-    """Maximal runs of keywords: (``text_id``, ``phrase``, ``score``, ``start``).
+    """Maximal runs of keywords: (``text_id``, ``phrase``, ``score``, ``best``, ``start``): sum and maximum of the scores.
 
     ``tokens`` is (``text_id``, ``pos``, ``word``, ``score``); a null score breaks a run, and so does the end of the text
     without being reached by a break: a run that ends the text is not given out, as it is never closed.
@@ -88,9 +162,9 @@ def keyword_runs(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("_i", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_b = 0")
     runs = t.groupBy("text_id", "_i").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"),
-        F.sum("score").alias("score"), F.min("pos").alias("start"), F.max("pos").alias("_e"), F.max("_last").alias("_last"),
+        F.sum("score").alias("score"), F.max("score").alias("best"), F.min("pos").alias("start"), F.max("pos").alias("_e"), F.max("_last").alias("_last"),
     )
-    return runs.where("_e < _last").select("text_id", "phrase", "score", "start")
+    return runs.where("_e < _last").select("text_id", "phrase", "score", "best", "start")
 
 
 def phrase_scores(phrases: DataFrame, nodes: DataFrame, normalize: bool = True) -> DataFrame:
@@ -105,6 +179,17 @@ def phrase_scores(phrases: DataFrame, nodes: DataFrame, normalize: bool = True)
     return s.select("graph", "phrase", (F.col("s") / over).alias("score_sum"), (F.col("m") / over).alias("score_max"))
 
 
+def run_scores(runs: DataFrame) -> DataFrame:
+    """(``graph``, ``phrase``, ``score_sum``, ``score_max``) from the scores of the runs; of a phrase's runs the best counts.
+
+    Phrases of more than three words are divided by their length.
+    """
+    s = runs.groupBy("graph", "phrase").agg(F.max("score").alias("s"), F.max("best").alias("m"))
+    k = F.size(F.split("phrase", " "))
+    over = F.when(k > 3, k).otherwise(1)
+    return s.select("graph", "phrase", (F.col("s") / over).alias("score_sum"), (F.col("m") / over).alias("score_max"))
+
+
 def clean_phrases(phrases: DataFrame) -> DataFrame:
     """Without repeated words, one-letter words, and phrases that another phrase of the graph contains as whole words.
 

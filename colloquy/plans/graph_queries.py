@@ -96,9 +96,8 @@ def betweenness_closeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens with the number of a word's neighbours as score; words with fewer than 10 neighbours break runs."""
-    deg = degree(spark, d).where("degree >= 10").select("graph", "word", F.col("degree").cast("double").alias("score"))
-    return tokens_by_position(spark, d).join(deg, ["graph", "word"], "left")
+    """All tokens; those of the session's word graph with their degree-normalised PageRank as score."""
+    return wordgraph.keyword_tokens(_segments(spark, d), dashed(F.col("instanceId")), F.col("seg_row_id"), F.col("originalText"))
 
 
 _MARKED = f"select t.graph, t.text_id, t.pos, t.word, cast(g.degree as double) score from ({_TOKENS}) t left join (select * from ({_DEG}) where degree >= 10) g on g.graph = t.graph and g.word = t.word"
@@ -106,7 +105,7 @@ _MARKED = f"select t.graph, t.text_id, t.pos, t.word, cast(g.degree as double) s
 
 @query(f"select text_id, pos, word, case when score is null then 'e' else 'k' end tag from ({_MARKED})")
 def tag_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d).select("text_id", "pos", "word", F.when(F.col("score").isNull(), "e").otherwise("k").alias("tag"))
+    return _marked(spark, d).select("text_id", "pos", "word", "tag")
 
 
 _RUNS = f"""select text_id, string_agg(word, ' ' order by pos) phrase, sum(score) score, min(pos) "start", any_value(graph) graph from (
@@ -115,12 +114,16 @@ _RUNS = f"""select text_id, string_agg(word, ' ' order by pos) phrase, sum(score
 
 @query(f'select text_id, phrase, score, "start" from ({_RUNS})')
 def multi_keyterms(spark: SparkSession, d: str) -> DataFrame:
-    return wordgraph.keyword_runs(_marked(spark, d))
+    return wordgraph.keyword_runs(_marked(spark, d)).select("text_id", "phrase", "score", "start")
 
 
-def _run_phrases(spark: SparkSession, d: str) -> DataFrame:
+def _runs(spark: SparkSession, d: str) -> DataFrame:
     texts = _segments(spark, d).select(F.col("seg_row_id").alias("text_id"), dashed(F.col("instanceId")).alias("graph"))
-    return multi_keyterms(spark, d).join(texts, "text_id").select("graph", "phrase").distinct()
+    return wordgraph.keyword_runs(_marked(spark, d)).join(texts, "text_id")
+
+
+def _run_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).select("graph", "phrase").distinct()
 
 
 _PH = f"select distinct graph, phrase from ({_RUNS})"
@@ -130,8 +133,8 @@ from (select p.graph, phrase, cast(degree as double) degree from (select graph,
 
 @query(_SCORED)
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Sum and maximum of the words' degrees per phrase."""
-    return wordgraph.phrase_scores(_run_phrases(spark, d), degree(spark, d).withColumn("score", F.col("degree").cast("double")))
+    """Sum and maximum of the words' degree-normalised PageRank per phrase."""
+    return wordgraph.run_scores(_runs(spark, d))
 
 
 _CLEAN = f"""with p as materialized (select * from ({_PH}) where len(list_distinct(string_split(phrase, ' '))) = len(string_split(phrase, ' ')) and len(list_filter(string_split(phrase, ' '), lambda t: len(t) < 2)) = 0)

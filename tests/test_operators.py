@@ -169,3 +169,16 @@ def test_lsh_recall_of_the_registered_index(spark):
     met = {(r["query"], r["user"]) for r in m.select("query", "user").collect()}
     near = [(q, ids[j]) for i, q in enumerate(ids) if q % 100 == 0 for j in [j for j in np.argsort(-(v @ v[i])) if j != i][:10]]
     assert sum(x in met for x in near) >= 0.9 * len(near)
+
+
+def test_keywords_are_the_nodes_of_the_graph(spark):
+    df = spark.createDataFrame([("g", 1, "The red car and red cars stop."), ("g", 2, "Okay"), ("h", 3, ""), ("h", 4, None)], "g string, i long, t string")
+    rows = wordgraph.keyword_tokens(df, F.col("g"), F.col("i"), F.col("t")).orderBy("text_id", "pos").collect()
+    assert [(r["text_id"], r["word"], r["tag"]) for r in rows] == [
+        (1, "the", "e"), (1, "red", "k"), (1, "car", "k"), (1, "and", "e"), (1, "red", "k"), (1, "cars", "p"), (1, "stop", "k"), (1, ".", "e"), (2, "okay", "k"),
+    ]
+    # red, car and stop form a triangle; okay stands alone and its mass goes to all: r = 0.85 * (r + o / 4) + 0.15 / 4 and 3 r + o = 1
+    o = (0.15 / 4) / (1 - 0.85 / 4)
+    by = {r["word"]: r["score"] for r in rows if r["score"] is not None}
+    assert abs(by["okay"] - o) < 1e-4 and all(abs(by[w] - (1 - o) / 6) < 1e-4 for w in ("red", "car", "cars", "stop"))
+    assert sorted(r["phrase"] for r in wordgraph.keyword_runs(wordgraph.keyword_tokens(df, F.col("g"), F.col("i"), F.col("t"))).collect()) == ["red car", "red cars stop"]
