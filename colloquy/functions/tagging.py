@@ -140,47 +140,110 @@ def encode(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray]
     return F.pandas_udf(run, "array<double>")(text)
 
 
-def wordpiece(token: Column, vocabulary: set[str], unknown: str = "[UNK]", longest: int = 100) -> Column:
-    """Greedy longest-match subwords; later pieces start with ``##``."""
+def _wordpieces(w: str | None, vocabulary: set[str], unknown: str, longest: int) -> list[str]:
+    out, at = [], 0
+    if not w or len(w) > longest:
+        return [unknown] if w else []
+    while at < len(w):
+        end = next((e for e in range(len(w), at, -1) if ("##" if at else "") + w[at:e] in vocabulary), None)
+        if end is None:
+            return [unknown]
+        out.append(("##" if at else "") + w[at:end])
+        at = end
+    return out
 
-    def pieces(w: str | None) -> list[str]:
-        out, at = [], 0
-        if not w or len(w) > longest:
-            return [unknown] if w else []
-        while at < len(w):
-            end = next((e for e in range(len(w), at, -1) if ("##" if at else "") + w[at:e] in vocabulary), None)
-            if end is None:
-                return [unknown]
-            out.append(("##" if at else "") + w[at:end])
-            at = end
-        return out
 
-    return _series_udf(pieces, "array<string>")(token)
+def wordpiece(token: Column, vocabulary: set[str], unknown: str = "[UNK]", longest: int = 100) -> Column:
+    """Greedy longest-match subwords; later pieces start with ``##``."""
+    return _series_udf(lambda w: _wordpieces(w, vocabulary, unknown, longest), "array<string>")(token)
+
+
+def wordpiece_text(tokens: Column, vocabulary: set[str], unknown: str = "[UNK]", longest: int = 100) -> Column:
+    """Subwords of all of a text's blank-separated tokens, joined by blanks."""
+    return _per_token(lambda w: _wordpieces(w, vocabulary, unknown, longest))(tokens)
+
+
+def _merged(w: str | None, ranks: dict[tuple[str, str], int]) -> list[str]:
+    if not w:
+        return []
+    s = [*w[:-1], w[-1] + "</w>"]
+    while len(s) > 1:
+        best = min(zip(s, s[1:]), key=lambda p: ranks.get(p, 1 << 60))  # noqa: B905
+        if best not in ranks:
+            break
+        out, i = [], 0
+        while i < len(s):
+            if i + 1 < len(s) and (s[i], s[i + 1]) == best:
+                out.append(s[i] + s[i + 1])
+                i += 2
+            else:
+                out.append(s[i])
+                i += 1
+        s = out
+    return s
 
 
 def bpe(token: Column, ranks: dict[tuple[str, str], int]) -> Column:
     """Byte-pair merges by rank; the last symbol carries ``</w>``."""
+    return _series_udf(lambda w: _merged(w, ranks), "array<string>")(token)
+
+
+def byte_symbols() -> list[str]:
+    """The printable sign that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+def bpe_text(tokens: Column, ranks: dict[tuple[str, str], int]) -> Column:
+    """Byte-pair merges of all of a text's blank-separated tokens by byte-level ``ranks``, joined by blanks."""
+    signs = byte_symbols()
+    return _per_token(lambda w: _merged("".join(signs[b] for b in w.encode()), ranks))(tokens)
+
+
+def piece_vocabulary() -> set[str]:
+    """Subwords of the installed public 32,000-piece vocabulary; pieces that do not open a word start with ``##``."""
+    import public_tokenizers
+    import sentencepiece
 
-    def merge(w: str | None) -> list[str]:
-        if not w:
-            return []
-        s = [*w[:-1], w[-1] + "</w>"]
-        while len(s) > 1:
-            best = min(zip(s, s[1:]), key=lambda p: ranks.get(p, 1 << 60))  # noqa: B905
-            if best not in ranks:
-                break
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and (s[i], s[i + 1]) == best:
-                    out.append(s[i] + s[i + 1])
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
-        return s
-
-    return _series_udf(merge, "array<string>")(token)
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    kept = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+    opening = {p[1:] for p in kept if p.startswith("\u2581")}
+    inner = {p for p in kept if "\u2581" not in p}
+    return {p for p in opening if p} | {"##" + p for p in inner} | {p for p in inner if len(p) == 1}
+
+
+def merge_ranks() -> dict[tuple[str, str], int]:
+    """Merges of the installed public byte-level vocabulary with word ends."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return {tuple(m): i for i, m in enumerate(json.load(f)["model"]["merges"])}
+
+
+def _per_token(f: Callable[[str], list[str]]):
+    """Each distinct token of a batch's texts goes through ``f`` once per task."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                words = t.split(" ") if t else []
+                for w in words:
+                    if w not in known:
+                        known[w] = " ".join(f(w))
+                out.append(" ".join([known[w] for w in words]))
+            if len(known) > 500_000:
+                known.clear()
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string")
 
 
 def _series_udf(f: Callable, kind: str):

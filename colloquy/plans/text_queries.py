@@ -68,8 +68,8 @@ _each("action_grammar", lambda t: F.array_join(tagging.chunk(tagging.pos_tag(t),
 _each("negation_filter", lambda t: F.size(F.filter(F.sequence(F.lit(0), F.size(text.words(t))), lambda i: tagging.negated(text.words(t), i))).cast("bigint"))
 _each("udf_ner", lambda t: F.to_json(tagging.entities(t)))
 _each("udf_encode", lambda t: F.to_json(F.transform(tagging.encode(t, 16), lambda x: F.round(x, 6))))
-_each("wordpiece", lambda t: F.array_join(tagging.wordpiece(F.get(text.words(t), F.lit(0)), {"the", "re", "##re", "w", "##e", "##ere", "we", "that", "i", "##t", "r", "##ight"}), " "))
-_each("bpe", lambda t: F.array_join(tagging.bpe(F.get(text.words(t), F.lit(0)), {("t", "h"): 0, ("th", "e</w>"): 1, ("w", "e</w>"): 2}), " "))
+_each("wordpiece", lambda t: tagging.wordpiece_text(F.array_join(text.basic_tokenize(t), " "), tagging.piece_vocabulary()))
+_each("bpe", lambda t: tagging.bpe_text(F.array_join(text.basic_tokenize(t), " "), tagging.merge_ranks()))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:

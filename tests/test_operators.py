@@ -182,3 +182,21 @@ def test_keywords_are_the_nodes_of_the_graph(spark):
     by = {r["word"]: r["score"] for r in rows if r["score"] is not None}
     assert abs(by["okay"] - o) < 1e-4 and all(abs(by[w] - (1 - o) / 6) < 1e-4 for w in ("red", "car", "cars", "stop"))
     assert sorted(r["phrase"] for r in wordgraph.keyword_runs(wordgraph.keyword_tokens(df, F.col("g"), F.col("i"), F.col("t"))).collect()) == ["red car", "red cars stop"]
+
+
+def test_subwords_of_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from colloquy.plans.text_queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    texts = {r["seg_row_id"]: r["value"].split(" ") for r in QUERIES["basic_tokenize"](spark, d).collect()}
+    vocabulary = {p: i for i, p in enumerate(sorted(tagging.piece_vocabulary() | {"[UNK]"}))}
+    merges = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    pieces = Tokenizer(models.WordPiece(vocab=vocabulary, unk_token="[UNK]", max_input_chars_per_word=100))
+    for name, by in (("wordpiece", pieces), ("bpe", merges)):
+        got = {r["seg_row_id"]: r["value"] for r in QUERIES[name](spark, d).collect()}
+        assert got == {i: " ".join(p for w in ws if w for p in by.encode(w, add_special_tokens=False).tokens) for i, ws in texts.items()}
+    assert sum(len(ws) for ws in texts.values()) > 5 * len(texts)
