@@ -51,6 +51,40 @@ def normalised_similarity(pairs: DataFrame, session: str) -> DataFrame:
     return n.groupBy(session, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.avg("n").alias("w"))
 
 
+def _full_weights(vectors: list) -> np.ndarray:
+    """Symmetric weights of all pairs of a session's vectors, 1 on the diagonal; NaN where a row has no range or a vector is zero.
+
+    The diagonal of the cosines becomes the row's mean before each row's minimum and maximum are taken.
+    """
+    v = np.array(vectors, dtype=float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        x = u @ u.T
+        known = ~np.isnan(x)
+        np.fill_diagonal(x, np.where(known, x, 0).sum(axis=1) / known.sum(axis=1))
+        low, high = np.where(known, x, np.inf).min(axis=1, keepdims=True), np.where(known, x, -np.inf).max(axis=1, keepdims=True)
+        n = (x - low) / np.where(high > low, high - low, np.nan)
+    w = (n + n.T) / 2
+    np.fill_diagonal(w, 1.0)
+    return w
+
+
+def full_similarity(sentences: DataFrame, session: str) -> DataFrame:
+    """(``session``, ``i``, ``j``, ``w``): all pairs i <= j of a session, min-max normalised over whole rows and symmetrised.
+
+    One task per session; a session's matrix is held at once.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sentence")
+        ids, w = pdf["sentence"].to_numpy(), _full_weights(pdf["vec"].tolist())
+        i, j = np.triu_indices(len(ids))
+        return pd.DataFrame({session: key[0], "i": ids[i], "j": ids[j], "w": w[i, j]})
+
+    rows = sentences.where("vec is not null").select(session, "sentence", "vec").groupBy(session).applyInPandas(run, f"{session} string, i long, j long, w double")
+    return rows.withColumn("w", F.nanvl("w", F.lit(None)))
+
+
 def prune_percentile(pairs: DataFrame, session: str, v: float) -> DataFrame:
     """Pairs with a weight of at least the session's ``v``-th percentile (linear interpolation)."""
     cut_at = pairs.groupBy(session).agg(F.percentile("w", F.lit(v / 100)).alias("_p"))

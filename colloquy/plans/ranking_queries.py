@@ -231,7 +231,8 @@ _FS = f"with p as ({_NP}), b as (select session, i a, j b, w from p union all se
 
 @query(_FS)
 def full_similarity_graph(spark: SparkSession, d: str) -> DataFrame:
-    return topics.normalised_similarity(topics.next_segment_pairs(_sentence_vectors(spark, d), "session"), "session").withColumn("w", F.round("w", 9))
+    """All pairs of a session's sentences and each sentence with itself (1)."""
+    return topics.full_similarity(_sentence_vectors(spark, d), "session").withColumn("w", F.round("w", 9))
 
 
 @query(f"with p as ({_NP}), c as (select session, quantile_cont(w, 0.75) c from p group by 1) select session, i, j from p join c using (session) where w >= c")

@@ -200,3 +200,19 @@ def test_subwords_of_whole_texts(spark):
         got = {r["seg_row_id"]: r["value"] for r in QUERIES[name](spark, d).collect()}
         assert got == {i: " ".join(p for w in ws if w for p in by.encode(w, add_special_tokens=False).tokens) for i, ws in texts.items()}
     assert sum(len(ws) for ws in texts.values()) > 5 * len(texts)
+
+
+def test_full_similarity_graph_has_all_pairs(spark):
+    import numpy as np
+
+    from colloquy.plans import ranking_queries as rq
+
+    d = "/root/testdata/sf0.001"
+    v = [np.array(r["vec"]) for r in rq._sentence_vectors(spark, d).where("session = 's0'").orderBy("sentence").collect()]
+    x = [[float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) for b in v] for a in v]
+    for i, row in enumerate(x):
+        row[i] = sum(row) / len(row)
+    n = [[(w - min(row)) / (max(row) - min(row)) for w in row] for row in x]
+    got = {(r["i"], r["j"]): r["w"] for r in rq.full_similarity_graph(spark, d).where("session = 's0'").collect()}
+    assert len(v) == 20 and len(got) == 210
+    assert all(abs(w - (1 if i == j else (n[i][j] + n[j][i]) / 2)) < 1e-8 for (i, j), w in got.items())
