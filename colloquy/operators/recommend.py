@@ -84,6 +84,37 @@ def rerank(user_items: DataFrame, similarity: Column, top: int = 10) -> DataFram
     return r.groupBy("user").agg(F.avg("_s").alias("phrase_score"), listed.alias("phrases"))
 
 
+def rerank_all(queries: DataFrame, user_items: DataFrame, top: int = 10, block: int = 1024) -> DataFrame:
+    """(``query``, ``user``, ``phrase_score``, ``phrases``): ``rerank`` by cosine for every query (``query``, ``vec``) against all items.
+
+    Blocks of queries meet blocks of (``user``, ``item``, ``vec``); a block of items gives out at most ``top`` rows per query and
+    user, so that only candidates are shuffled. A zero vector has no similarity and is left out.
+    """
+    q = queries.where("vec is not null").groupBy(F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // block)))).alias("_b"))
+    q = q.agg(F.collect_list(F.struct("query", "vec")).alias("_q")).select("_q")
+    i = user_items.where("vec is not null").groupBy("user", F.expr(f"item div {block}").alias("_b")).agg(F.collect_list(F.struct("item", "vec")).alias("_i")).select("user", "_i")
+
+    def unit(rows: list) -> np.ndarray:
+        v = np.array([r["vec"] for r in rows], dtype=float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for user, qs, items in zip(pdf["user"], pdf["_q"], pdf["_i"], strict=True):
+                items = sorted(items, key=lambda r: r["item"])
+                s, ids = unit(qs) @ unit(items).T, np.array([r["item"] for r in items])
+                best = np.argsort(-s, axis=1, kind="stable")[:, :top]  # NaN comes last, ties by item
+                rows = pd.DataFrame({"query": np.repeat([r["query"] for r in qs], best.shape[1]), "user": user, "item": ids[best].ravel(), "_s": np.take_along_axis(s, best, 1).ravel()})
+                yield rows.dropna(subset="_s")
+
+    pairs = i.crossJoin(q).mapInPandas(run, f"query long, user {user_items.schema['user'].dataType.simpleString()}, item long, _s double")
+    w = Window.partitionBy("query", "user").orderBy(F.desc("_s"), "item")
+    r = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"])
+    return r.groupBy("query", "user").agg(F.avg("_s").alias("phrase_score"), listed.alias("phrases"))
+
+
 def high_deviation(df: DataFrame, score: str, limit: float) -> DataFrame:
     """(``deviation``, ``high``): lead of the best score over the second in standard deviations."""
     top = df.orderBy(F.desc(score)).limit(2).agg(F.max(score).alias("a"), F.min(score).alias("b")).join(F.broadcast(df.agg(F.stddev_pop(score).alias("sd"))))

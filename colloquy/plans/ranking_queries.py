@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.ids import dashed
 from colloquy.functions.tagging import entity_preference
-from colloquy.functions.vectors import cosine
 from colloquy.operators import ranking, recommend, topics
 from colloquy.operators.graph import latest
 from colloquy.runtime import table
@@ -405,11 +404,10 @@ _RR = f"select a.label as user, a.vec_id item, {_COS('a.vec', 'q.vec')} s from (
 
 @query(f"select \"user\", round(avg(s), 9) phrase_score, array_to_string(list(item order by r), ',') phrases from (select *, row_number() over (partition by \"user\" order by s desc, item) r from ({_RR})) where r <= 10 group by 1")
 def rerank_users(spark: SparkSession, d: str) -> DataFrame:
-    """Ten items of each user nearest to the first vector."""
+    """Ten items of each user nearest to every vector with an id divisible by 100."""
     v = _vectors(spark, d)
-    q = v.orderBy("vec_id").limit(1).select(F.col("vec").alias("q"))
-    out = recommend.rerank(v.join(F.broadcast(q)).select(F.col("label").alias("user"), F.col("vec_id").alias("item"), "vec", "q"), cosine(F.col("vec"), F.col("q")))
-    return out.select("user", F.round("phrase_score", 9).alias("phrase_score"), F.array_join(F.transform("phrases", lambda x: x.cast("string")), ",").alias("phrases"))
+    out = recommend.rerank_all(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "vec"), v.select(F.col("label").alias("user"), F.col("vec_id").alias("item"), "vec"))
+    return out.select("query", "user", F.round("phrase_score", 9).alias("phrase_score"), F.array_join(F.transform("phrases", lambda x: x.cast("string")), ",").alias("phrases"))
 
 
 @query("select user_id, array_to_string(list_sort(list(distinct event_type)), ',') event_type from events where event_type is not null group by 1")

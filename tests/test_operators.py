@@ -216,3 +216,21 @@ def test_full_similarity_graph_has_all_pairs(spark):
     got = {(r["i"], r["j"]): r["w"] for r in rq.full_similarity_graph(spark, d).where("session = 's0'").collect()}
     assert len(v) == 20 and len(got) == 210
     assert all(abs(w - (1 if i == j else (n[i][j] + n[j][i]) / 2)) < 1e-8 for (i, j), w in got.items())
+
+
+def test_rerank_of_every_query(spark):
+    import numpy as np
+
+    from colloquy.plans import ranking_queries as rq
+
+    d = "/root/testdata/sf0.001"
+    rows = rq._vectors(spark, d).collect()
+    got = {(r["query"], r["user"]): (r["phrase_score"], r["phrases"]) for r in rq.rerank_users(spark, d).collect()}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    expected = {}
+    for q in (r for r in rows if r["vec_id"] % 100 == 0):
+        for user in {r["label"] for r in rows}:
+            best = sorted(((-cos(q["vec"], r["vec"]), r["vec_id"]) for r in rows if r["label"] == user))[:10]
+            expected[q["vec_id"], user] = (-sum(s for s, _ in best) / len(best), ",".join(str(i) for _, i in best))
+    assert got.keys() == expected.keys() and len({q for q, _ in got}) == 5
+    assert all(got[k][1] == p and abs(got[k][0] - s) < 1e-8 for k, (s, p) in expected.items())
