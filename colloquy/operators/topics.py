@@ -150,6 +150,55 @@ def communities(pairs: DataFrame, session: str, resolution: float = 0.9) -> Data
     return pairs.groupBy(session).applyInPandas(run, f"{session} string, sentence long, community long")
 
 
+def hierarchical_split(labels: DataFrame, sentences: DataFrame, session: str, v: float = 75) -> DataFrame:
+    """(``session``, ``sentence``, ``community``): every community of two or more sentences split once more.
+
+    Of its own full similarity graph, edges below the ``v``-th percentile go, then Louvain runs again; a sentence always keeps
+    its edge with itself. The new labels are unique in the session.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for n, (_, part) in enumerate(pdf.sort_values("sentence").groupby("community", sort=True)):
+            ids, w = part["sentence"].tolist(), _full_weights(part["vec"].tolist())
+            i, j = np.triu_indices(len(ids))
+            x = np.nan_to_num(w[i, j])
+            kept = (x > 0) & (x >= np.percentile(x[x > 0], v))
+            kept |= i == j
+            label = louvain_labels([ids[a] for a in i[kept]], [ids[b] for b in j[kept]], x[kept].tolist())
+            out += [(key[0], s, (n, label[s])) for s in ids]
+        number = {c: k for k, c in enumerate(sorted({c for *_, c in out}))}
+        return pd.DataFrame([(k, s, number[c]) for k, s, c in out], columns=[session, "sentence", "community"])
+
+    rows = labels.select(session, "sentence", "community").join(sentences.select(session, "sentence", "vec"), [session, "sentence"])
+    return rows.groupBy(session).applyInPandas(run, f"{session} string, sentence long, community long")
+
+
+def readd_removed(groups: DataFrame, segments: DataFrame, session: str) -> DataFrame:
+    """``groups`` (``session``, ``segment``, ``group``) with each of the ``segments`` that is in none as a group of its own."""
+    lost = segments.select(session, "segment").distinct().join(groups, [session, "segment"], "left_anti")
+    return groups.select(session, "segment", "group").unionByName(lost.withColumn("group", F.col("segment")))
+
+
+def time_groups(assigned: DataFrame, segments: DataFrame, scores: DataFrame, session: str) -> DataFrame:
+    """(``session``, ``group``, ``size``, ``start``, ``end``, ``mean_score``, ``rank``): a session's groups from its communities.
+
+    ``assigned`` (``session``, ``segment``, ``community``) is split into time islands, over the order of the segments that it has;
+    the other ``segments`` return as single groups; groups inside another one join it; single groups go, if there is a larger
+    one; the rest is ranked by the mean of the ``scores`` (``session``, ``segment``, ``score``). A group's name is its first segment.
+    """
+    placed = assigned.withColumn("ord", F.row_number().over(Window.partitionBy(session).orderBy("segment")))
+    island = Window.partitionBy(session, "community", "island")
+    g = time_islands(placed, [session, "community"]).withColumn("group", F.min("segment").over(island))
+    all_of = readd_removed(g, segments, session)
+    spans = all_of.groupBy(session, "group").agg(F.count(F.lit(1)).alias("size"), F.min("segment").alias("start"), F.max("segment").alias("end"))
+    merged = all_of.join(merge_contained(spans, session), [session, "group"]).select(session, "segment", F.col("into").alias("group"))
+    final = merged.groupBy(session, "group").agg(F.count(F.lit(1)).alias("size"), F.min("segment").alias("start"), F.max("segment").alias("end"))
+    kept = drop_singletons(final, session)
+    scored = merged.join(kept.select(session, "group"), [session, "group"], "left_semi").join(scores, [session, "segment"], "left")
+    return kept.join(order_groups(scored, session, "group", F.col("score")), [session, "group"])
+
+
 def majority_assign(members: DataFrame, session: str) -> DataFrame:
     """(``session``, ``segment``, ``community``, ``n``): the community with most of a segment's sentences; ties to the later."""
     n = members.groupBy(session, "segment", "community").agg(F.count(F.lit(1)).alias("n"))

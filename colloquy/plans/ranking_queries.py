@@ -245,13 +245,19 @@ def louvain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def h_communities(spark: SparkSession, d: str) -> DataFrame:
-    """The whole grouping: communities, majority, time islands, singletons dropped."""
-    s = _sentence_vectors(spark, d).select("session", "sentence", F.col("ord").alias("segment"))
-    m = topics.majority_assign(louvain(spark, d).join(s, ["session", "sentence"]), "session")
-    i = topics.time_islands(m.withColumn("ord", F.col("segment")), ["session", "community"])
-    g = i.groupBy("session", "community", "island").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("start"), F.max("ord").alias("end"))
-    return topics.drop_singletons(g, "session")
+def h_communities(spark: SparkSession, d: str, h_flag: bool = False) -> DataFrame:
+    """The whole grouping: communities, majority, time islands, segments without a community, contained groups merged, singletons
+    dropped, groups ranked by their segments' mean mind score; with ``h_flag``, communities are split once more.
+    """
+    v = _sentence_vectors(spark, d)
+    s = v.select("session", "sentence", F.col("ord").alias("segment"))
+    c = louvain(spark, d)
+    if h_flag:
+        c = topics.hierarchical_split(c, v, "session")
+    m = topics.majority_assign(c.join(s, ["session", "sentence"]), "session")
+    scores = topics.mind_scores(_vectors(spark, d), _minds(spark, d), "vec_id").withColumnRenamed("vec_id", "sentence").join(s, "sentence")
+    scores = scores.groupBy("session", "segment").agg(F.avg("score").alias("score"))
+    return topics.time_groups(m, s, scores, "session").withColumn("mean_score", F.round("mean_score", 9))
 
 
 _MJ = "select * from (select session, segment, community, count(*) n from (select 's' || (vec_id // 20) session, vec_id // 5 segment, label community from embeddings) group by 1, 2, 3) qualify row_number() over (partition by session, segment order by n desc, community desc) = 1"

@@ -234,3 +234,32 @@ def test_rerank_of_every_query(spark):
             expected[q["vec_id"], user] = (-sum(s for s, _ in best) / len(best), ",".join(str(i) for _, i in best))
     assert got.keys() == expected.keys() and len({q for q, _ in got}) == 5
     assert all(got[k][1] == p and abs(got[k][0] - s) < 1e-8 for k, (s, p) in expected.items())
+
+
+def test_time_groups(spark):
+    a = spark.createDataFrame([("s", 1, 0), ("s", 2, 0), ("s", 4, 0), ("s", 5, 1), ("s", 6, 2), ("s", 7, 1), ("s", 8, 1), ("t", 1, 0), ("t", 2, 1)], "session string, segment long, community long")
+    segments = a.select("session", "segment").union(spark.createDataFrame([("s", 3), ("s", 9), ("u", 1)], "session string, segment long"))
+    scores = spark.createDataFrame([("s", 1, 0.4), ("s", 2, 0.4), ("s", 4, 0.4), ("s", 7, 0.8), ("s", 8, 0.6), ("t", 2, 0.1)], "session string, segment long, score double")
+    got = sorted(tuple(r[k] for k in ("session", "group", "size", "start", "end", "rank")) + (round(r["mean_score"], 9),) for r in topics.time_groups(a, segments, scores, "session").collect())
+    assert got == [("s", 1, 4, 1, 4, 2, 0.3), ("s", 7, 2, 7, 8, 1, 0.7), ("t", 1, 1, 1, 1, 2, 0.0), ("t", 2, 1, 2, 2, 1, 0.1), ("u", 1, 1, 1, 1, 1, 0.0)]
+
+
+def test_hierarchical_split(spark):
+    near = {1: [1.0, 0, 0], 2: [1.0, 0.1, 0], 3: [0, 1.0, 0], 4: [0, 1.0, 0.1], 5: [0, 0, 1.0]}
+    v = spark.createDataFrame([("s", i, [float(x) for x in v]) for i, v in near.items()], "session string, sentence long, vec array<double>")
+    c = spark.createDataFrame([("s", i, 0 if i < 5 else 3) for i in near], "session string, sentence long, community long")
+    label = {r["sentence"]: r["community"] for r in topics.hierarchical_split(c, v, "session").collect()}
+    assert len(label) == 5 and label[5] not in {label[i] for i in (1, 2, 3, 4)} and label[1] not in (label[3], label[4])
+
+
+def test_the_registered_groups_are_whole(spark):
+    from colloquy.plans import ranking_queries as rq
+
+    d = "/root/testdata/sf0.001"
+    for flag in (False, True):
+        rows = rq.h_communities(spark, d, flag).collect()
+        assert {r["session"] for r in rows} == {r["session"] for r in rq._sentence_vectors(spark, d).select("session").distinct().collect()}
+        for s in {r["session"] for r in rows}:
+            own = [r for r in rows if r["session"] == s]
+            assert sorted(r["rank"] for r in own) == list(range(1, len(own) + 1))
+            assert not any(a is not b and a["start"] <= b["start"] and b["end"] <= a["end"] and max(a["size"], b["size"]) > 1 for a in own for b in own)
