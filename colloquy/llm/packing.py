@@ -3,8 +3,9 @@
 Items are spread by hash over blocks of a bounded number of items. In a block best-fit decreasing gives a start, then a
 swap-based local search takes the emptiest container apart: its items are moved into, or exchanged one for one and two
 for one with smaller items of, fuller containers. Every step makes a fuller container fuller, so the sum of squared fills
-grows, and it ends when the emptiest container is empty or nothing fits. The containers a block leaves underfull go into
-a second round together with those of other blocks.
+grows, and it ends when the emptiest container is empty or nothing fits; then the next emptiest is tried, each one once
+since the last that was emptied. The containers a block leaves underfull go into a second round together with those of
+other blocks.
 """
 
 from __future__ import annotations
@@ -37,20 +38,25 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_by_swaps(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = 3) -> list[list[int]]:
+def empty_by_swaps(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search: takes emptiest containers apart as long as that empties them; see the module."""
     bins = [list(b) for b in bins if b]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    while len(bins) > 1:
-        d = min(range(len(bins)), key=lambda b: (fill[b], b))
-        room = sum(capacity - f for f in fill) - (capacity - fill[d])
-        if room < fill[d]:
-            break  # no search can empty it
-        before = ([list(b) for b in bins], list(fill))
-        for _ in range(passes):
+    total = sum(fill)
+    emptiest = lambda bs: sorted(bs, key=lambda b: (fill[b], b), reverse=True)
+    fullest = lambda: sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: -fill[b])
+    left, loose = emptiest(range(len(bins))), fullest()  # not tried since the last one was emptied; with space
+    while len(bins) > 1 and len(bins) * capacity - total >= capacity and left:  # else no search can empty one
+        d = left.pop()
+        before, into_of = {d: (list(bins[d]), fill[d])}, loose
+        while True:
             moved = False
             pool = sorted((sizes[i], i) for i in bins[d])
-            for a in sorted((b for b in range(len(bins)) if b != d and fill[b] < capacity), key=lambda b: -fill[b]):
+            for a in into_of:
+                if a == d:
+                    continue
+                if a not in before:
+                    before[a] = (list(bins[a]), fill[a])
                 space = capacity - fill[a]
                 while pool and (at := bisect_right(pool, (space, len(sizes)))) > 0 and space > 0:  # move
                     s, i = pool.pop(at - 1)
@@ -86,11 +92,15 @@ def empty_by_swaps(bins: list[list[int]], sizes: list[int], capacity: int, passe
             bins[d] = [i for _, i in pool]
             if not pool or not moved:
                 break
-        if bins[d]:
-            if sum(f * f for f in fill) <= sum(f * f for f in before[1]):
-                bins, fill = before
-            break
-        del bins[d], fill[d]
+            into_of = fullest()
+        if not bins[d]:
+            del bins[d], fill[d]
+            left, loose = emptiest(range(len(bins))), fullest()
+        elif sum(fill[b] ** 2 - f * f for b, (_, f) in before.items()) <= 0:
+            for b, (own, f) in before.items():
+                bins[b], fill[b] = own, f
+        else:
+            left, loose = emptiest(left), fullest()
     return bins
 
 

@@ -144,6 +144,13 @@ def test_packing(spark):
     assert packing.pack_documents(sizes.limit(0), packs).count() == 0
 
 
+def test_packing_tries_the_next_emptiest():
+    for sizes, least in (([30, 16, 54, 43, 26, 59, 22, 62, 56, 37, 65, 20], 5), ([45, 45, 33, 41, 29, 43, 15, 41, 69, 57, 60, 31, 30, 55, 29, 15, 33, 34, 67], 8)):
+        bins = packing.empty_by_swaps(packing.best_fit_decreasing(sizes, 100), sizes, 100)
+        assert len(bins) == least and max(sum(sizes[i] for i in b) for b in bins) <= 100
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+
+
 def test_swaps_empty_a_container():
     sizes = [6, 4, 5, 3, 3, 3]
     bins = packing.empty_by_swaps([[0], [1, 2], [3, 4], [5]], sizes, 10)
