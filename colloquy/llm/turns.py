@@ -166,10 +166,23 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame, training_pairs: int
     guess = model.column([F.col(f"f_{n}") for n in names]) >= 0
     begins = F.when(F.col("_p").isNull(), True).when(F.col("f_same") >= 0, F.col("f_same") == 0).otherwise(guess)
     marked = near.select("transcript", "chunk", *order, "who", "words", begins.cast("bigint").alias("b"))
-    local = marked.withColumn("_t", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = marked.groupBy("transcript", "chunk").agg(F.sum("b").alias("_n"))
-    ahead = ahead.withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy("transcript").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    turns = local.join(ahead, ["transcript", "chunk"]).groupBy("transcript", (F.col("_t") + F.col("_off")).alias("turn_no"))
+
+    def numbered(rows: DataFrame) -> DataFrame:  # turns by the sum of boundaries, per hour with one row per hour ahead
+        local = rows.withColumn("_t", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        ahead = rows.groupBy("transcript", "chunk").agg(F.sum("b").alias("_n"))
+        ahead = ahead.withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy("transcript").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        return local.join(ahead, ["transcript", "chunk"]).withColumn("turn_no", F.col("_t") + F.col("_off")).drop("_t", "_off")
+
+    # A turn has one speaker: who differs from the last known speaker of the same turn begins another.
+    guessed = numbered(marked)
+    told = F.when(F.col("who").isNotNull(), F.struct("turn_no", "who"))
+    carry = guessed.groupBy("transcript", "chunk").agg(F.max_by(told, F.when(F.col("who").isNotNull(), F.struct(*order))).alias("_l"))
+    carry = carry.withColumn("_carry", F.last("_l", ignorenulls=True).over(Window.partitionBy("transcript").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_l")
+    last = F.coalesce(F.last(told, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    checked = guessed.join(carry, ["transcript", "chunk"]).withColumn("_l", last)
+    other = F.coalesce((F.col("_l.turn_no") == F.col("turn_no")) & (F.col("_l.who") != F.col("who")), F.lit(False))
+    local = numbered(checked.withColumn("b", F.when(other, 1).otherwise(F.col("b"))).drop("turn_no", "_l", "_carry"))
+    turns = local.groupBy("transcript", "turn_no")
     first = F.min(F.struct(*order))
     out = turns.agg(first["row"].alias("sp_row_id"), F.min_by("who", F.when(F.col("who").isNotNull(), F.struct(*order))).alias("spoken_by"), F.sum("words").alias("n_words"))
     return out.where("spoken_by is not null").select(F.col("transcript").alias("transcript_id"), "turn_no", "spoken_by", "sp_row_id", "n_words")

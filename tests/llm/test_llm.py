@@ -109,6 +109,17 @@ def test_turns(spark):
     assert turns.speaker_turns(df.limit(0), who).count() == 0
 
 
+def test_turns_compare_with_the_last_known_speaker(spark, monkeypatch):
+    monkeypatch.setattr(boosting.Booster, "column", lambda self, columns: F.lit(-1.0))  # every guess: no boundary
+    t = "61920cfa-7bfc-cb75-5a47-66d2f09065d9"
+    said = [("spk_1", "00:00:01"), (None, "00:00:02"), ("spk_2", "00:00:03"), (None, "00:00:04"), ("spk_2", "00:00:05"), (None, "00:00:06"), ("spk_1", "02:00:00"), ("spk_1", "02:00:01")]
+    rows = [(i, f"{i}" * 32, t, who, "some words", f"2020-01-01T{at}Z", f"2020-01-01T{at}Z") for i, (who, at) in enumerate(said, 1)]
+    df = spark.createDataFrame(rows, "sp_row_id long, id string, transcriptId string, spokenBy string, originalText string, startTime string, endTime string")
+    who = spark.createDataFrame([(t, 1, WHO[0], "A B"), (t, 2, WHO[1], "C D")], "transcriptId string, speakerNo int, spokenBy string, speakerName string")
+    got = sorted((r["turn_no"], WHO.index(r["spoken_by"]), r["sp_row_id"], r["n_words"]) for r in turns.speaker_turns(df, who).collect())
+    assert got == [(1, 0, 1, 4), (2, 1, 3, 8), (3, 0, 7, 4)]
+
+
 def test_boosting_held_out():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
