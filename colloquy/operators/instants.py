@@ -9,9 +9,10 @@ A value is read in three steps, all of them built-in expressions:
 3. *choice* - of all readings (day/month order, meaning of an abbreviation, both
    passes of an hour repeated by a clock change) the one closest to the anchor.
 
-Local values whose row states no zone get one by estimation: within a stream
-(rows written by the same clocks) every candidate zone, which is an offset
-history, is laid over all local values of the stream, its violations are
+Every local value without a zone gets one by estimation: within a stream (rows
+written by the same clocks) every candidate zone, which is an offset history,
+is laid over all local values of the stream, its violations (values on the
+wrong side of their anchor, statements that the clocks run in another zone) are
 counted, and the zone with the fewest is used.
 """
 
@@ -159,29 +160,79 @@ def _readings(zone: Column) -> Column:
     return F.when(F.col("_epoch").isNotNull(), F.array("_epoch")).when(F.col("_offs").isNotNull(), fixed).when(zone.isNotNull(), named)
 
 
-def estimate_zones(local_values: DataFrame, candidates: list[str], after: list[str]) -> DataFrame:
-    """Zone of each stream: (``_stream``, ``_zone``).
+#: What one row's statement that its clocks run in another zone weighs against one value on the wrong side of its anchor.
+STATEMENT_WEIGHT = 2
 
-    ``local_values`` has ``_stream, _stated, _anchor, _local, field``. Every candidate zone is applied to every local
-    value of the stream. A violation is a value on the wrong side of its anchor (fields in ``after`` must not precede it,
-    the others must not follow it) or a row whose stated zone is another. Fewest violations win, then the smallest sum of
-    distances from the anchor, then the name.
+
+def score_zones(local_values: DataFrame, candidates: list[str], after: list[str], weight: int = STATEMENT_WEIGHT) -> DataFrame:
+    """Every candidate zone of each stream: (``_stream``, ``_zone``, ``v``, ``d``, ``n``), violations, distance in µs, values.
+
+    ``local_values`` has ``_stream, _stated, _anchor, _local, field``. Every candidate zone (``candidates`` and the row's stated
+    one) is applied to every local value of the stream. A violation is a value on the wrong side of its anchor (fields in
+    ``after`` must not precede it, the others must not follow it); a row that states another zone counts ``weight``
+    violations. Only counts per stream and zone are shuffled.
     """
-    tried = local_values.withColumn("_zone", F.explode(F.array(*[F.lit(z) for z in candidates])))
+    zones = F.array_union(F.array(*[F.lit(z) for z in candidates]).cast("array<string>"), F.array_compact(F.array("_stated")))
+    tried = local_values.withColumn("_zone", F.explode(zones))
     utc = nearest(F.flatten(F.transform("_local", lambda x: local_readings(x, F.col("_zone")))), F.col("_anchor"))
     late = F.col("field").isin(after)
     wrong = F.when(late, F.col("_u") < F.col("_anchor")).otherwise(F.col("_u") > F.col("_anchor"))
-    score = (
-        tried.withColumn("_u", utc)
-        .groupBy("_stream", "_zone")
-        .agg(
-            F.sum(F.coalesce(wrong, F.lit(False)).cast("bigint") + F.coalesce(F.col("_stated") != F.col("_zone"), F.lit(False)).cast("bigint")).alias("v"),
-            F.sum(F.coalesce(F.abs(F.col("_u") - F.col("_anchor")), F.lit(0)).cast("double")).alias("d"),
-        )
-    )
+    other = F.coalesce(F.col("_stated") != F.col("_zone"), F.lit(False)).cast("bigint") * weight
+    score = once(tried, _u=utc).groupBy("_stream", "_zone").agg(
+        F.sum(F.coalesce(wrong, F.lit(False)).cast("bigint") + other).alias("v"),
+        F.sum(F.coalesce(F.abs(F.col("_u") - F.col("_anchor")), F.lit(0)).cast("double")).alias("d"), F.count(F.lit(1)).alias("n"),
+    )
+    # a zone that only some rows of the stream state is tried on these alone; on the others it is violated by definition
+    most = score.groupBy("_stream").agg(F.max("n").alias("_all"))
+    return score.join(most, "_stream").select("_stream", "_zone", (F.col("v") + (F.col("_all") - F.col("n")) * (weight + 1)).alias("v"), "d", F.col("_all").alias("n"))
+
+
+def estimate_zones(local_values: DataFrame, candidates: list[str], after: list[str], weight: int = STATEMENT_WEIGHT) -> DataFrame:
+    """Zone of each stream: (``_stream``, ``_zone``) by :func:`score_zones`.
+
+    Fewest violations win, then the smallest sum of distances from the anchor, then the name.
+    """
+    score = score_zones(local_values, candidates, after, weight)
     return score.groupBy("_stream").agg(F.min(F.struct("v", "d", "_zone"))["_zone"].alias("_zone"))
 
 
+def _read(df: DataFrame, row_id: str, fields: list[str], anchor: str, stream: Column, clock: Column, stated_zone: Column, wanted: Column | None) -> DataFrame:
+    """Each readable value: (``_id``, ``field``, ``raw``, ``_utc``) if it says its zone, else ``_local`` with what is known of its clock."""
+    zones = zone_names(df.sparkSession)
+    base = df.select(F.col(row_id).alias("_id"), stream.alias("_stream"), clock.alias("_own"), stated_zone.alias("_stated"), F.col(anchor).alias("_a"), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)])
+    iso = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?Z$"
+    g = lambda i: _int(F.regexp_extract("_a", iso, i))
+    micros = _int(F.substring(F.rpad(F.regexp_extract("_a", iso, 7), 6, "0"), 1, 6))
+    anchor_us = F.when(F.col("_a").rlike(iso) & _real(g(1), g(2), g(3)), (_days(g(1), g(2), g(3)) * 86400 + (g(4) * 60 + g(5)) * 60 + g(6)) * 1_000_000 + micros)
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("raw")) for i, f in enumerate(fields)])
+    long = base.withColumn("_p", F.explode(pairs)).select("_id", "_stream", "_own", "_stated", "_a", "_p.field", "_p.raw").where(F.col("raw").isNotNull())
+    if wanted is not None:
+        long = long.where(wanted)
+    long = once(long, _anchor=anchor_us).drop("_a")
+    parsed = parse_parts(long, "raw", zones).where("_ok")
+    says = F.col("_epoch").isNotNull() | F.col("_offs").isNotNull() | F.col("_named").isNotNull()
+    read = once(parsed, _utc=F.when(says, nearest(_readings(F.col("_named")), F.col("_anchor"))))
+    open_ = lambda c: F.when(~says, F.col(c)).alias(c)
+    return read.select("_id", "field", "raw", "_utc", open_("_local"), open_("_anchor"), open_("_stream"), open_("_own"), open_("_stated")).where("_utc is not null or _local is not null")
+
+
+def _evidence(read: DataFrame) -> DataFrame:
+    """Local values by the clock they were written with; those of a stream with clockless values also by the stream."""
+    local = read.where("_local is not null").select("field", "_local", "_anchor", "_stream", "_own", "_stated")
+    lost = local.where("_own is null and _stream is not null").select("_stream").distinct()
+    by_stream = local.join(broadcast_if_small(lost), "_stream", "left_semi")
+    keyed = lambda x, key: x.select(key.alias("_stream"), "_stated", "_anchor", "_local", "field")
+    return keyed(local.where("_own is not null"), _clock_key()).unionByName(keyed(by_stream, _stream_key()))
+
+
+def _clock_key() -> Column:
+    return F.concat(F.lit("clock "), F.col("_own"))
+
+
+def _stream_key() -> Column:
+    return F.concat(F.lit("stream "), F.col("_stream"))
+
+
 def normalise_instants(
     df: DataFrame,
     row_id: str,
@@ -192,58 +243,65 @@ def normalise_instants(
     candidates: list[str],
     after: list[str] = (),
     wanted: Column | None = None,
+    clock: Column | None = None,
 ) -> DataFrame:
     """Each readable value of ``fields`` as one UTC instant: (``row_id``, ``field``, ``raw``, ``utc_us``, ``zone_estimated``).
 
-    ``anchor`` is a clean ISO UTC text column; ``stream`` names rows written by the same clocks; ``stated_zone`` is an
-    IANA name or null; ``candidates`` are the zones to choose from where none is stated; ``after`` lists fields that are
-    written after the anchor. ``wanted`` restricts the raw values (column ``raw``).
+    ``anchor`` is a clean ISO UTC text column. ``clock`` names whose clocks wrote a row (null where that is not known) and
+    ``stream`` rows that were written together; values without a zone take the zone estimated for their clock, or, where
+    no clock is known, for their stream. Without ``clock`` the stream is the clock. ``stated_zone`` is what a row says of its clock's zone (an IANA name or null): evidence
+    for the estimate. ``candidates`` are further zones to choose from; ``after`` lists fields that are written after the
+    anchor. ``wanted`` restricts the raw values (column ``raw``).
 
-    Null, blank, placeholder and impossible values give no row. Without stated zone, stream or candidates a local value
-    gives no row. Rows are kept apart by ``row_id``: repeated rows each give theirs. Extra columns are ignored.
+    Null, blank, placeholder and impossible values give no row. Without clock and stream, or without any candidate, a
+    local value takes its stated zone, and without one it gives no row. Rows are kept apart by ``row_id``: repeated rows each give theirs.
+    Extra columns are ignored. Values are parsed once and read back from a checkpoint.
     """
-    zones = zone_names(df.sparkSession)
-    base = df.select(F.col(row_id).alias("_id"), stream.alias("_stream"), stated_zone.alias("_stated"), F.col(anchor).alias("_a"), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)])
-    iso = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?Z$"
-    g = lambda i: _int(F.regexp_extract("_a", iso, i))
-    micros = _int(F.substring(F.rpad(F.regexp_extract("_a", iso, 7), 6, "0"), 1, 6))
-    anchor_us = F.when(F.col("_a").rlike(iso) & _real(g(1), g(2), g(3)), (_days(g(1), g(2), g(3)) * 86400 + (g(4) * 60 + g(5)) * 60 + g(6)) * 1_000_000 + micros)
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("raw")) for i, f in enumerate(fields)])
-    long = base.withColumn("_p", F.explode(pairs)).select("_id", "_stream", "_stated", "_a", "_p.field", "_p.raw").where(F.col("raw").isNotNull())
-    if wanted is not None:
-        long = long.where(wanted)
-    long = once(long, _anchor=anchor_us).drop("_a")
-    local_only = F.col("_epoch").isNull() & F.col("_offs").isNull() & F.col("_named").isNull()
-    parsed = parse_parts(long, "raw", zones).where("_ok")
+    read = cut(_read(df, row_id, fields, anchor, stream, stream if clock is None else clock, stated_zone, wanted))
+    zones = cut(estimate_zones(_evidence(read), candidates, list(after)).where("_zone is not null"))
+    keyed = read.withColumn("_key", F.coalesce(_clock_key(), _stream_key()))
+    joined = keyed.join(broadcast_if_small(zones.withColumnRenamed("_stream", "_key")), "_key", "left")
+    zone = F.coalesce("_zone", F.when(F.col("_key").isNull(), F.col("_stated")))
+    told = nearest(F.flatten(F.transform("_local", lambda x: local_readings(x, zone))), F.col("_anchor"))
+    out = joined.select(F.col("_id").alias(row_id), "field", "raw", F.when(F.col("_utc").isNotNull(), F.col("_utc")).when(zone.isNotNull(), told).alias("utc_us"), (F.col("_utc").isNull() & F.col("_zone").isNotNull()).alias("zone_estimated"))
+    return out.where("utc_us is not null")
 
-    def out(x: DataFrame, zone: Column, estimated: bool) -> DataFrame:
-        return x.select(F.col("_id").alias(row_id), "field", "raw", nearest(_readings(zone), F.col("_anchor")).alias("utc_us"), F.lit(estimated).alias("zone_estimated"))
 
-    known = out(parsed.where(~(local_only & F.col("_stated").isNull())), F.coalesce("_named", "_stated"), False).where(F.col("utc_us").isNotNull())
-    # Rows without a stated zone are few: they alone are parsed to see whether any zone has to be estimated, and only
-    # the streams they belong to are read as evidence.
-    homeless = long.where(F.col("_stated").isNull() & F.col("_stream").isNotNull())
-    orphans = parse_parts(homeless, "raw", zones).where(F.col("_ok") & local_only)
-    streams = cut(orphans.select("_stream").distinct())
-    if not candidates or streams.isEmpty():
-        return known
-    evidence = parse_parts(long.join(broadcast_if_small(streams), "_stream", "left_semi"), "raw", zones).where(F.col("_ok") & local_only)
-    estimated = estimate_zones(evidence, candidates, list(after))
-    return known.unionByName(out(orphans.join(estimated, "_stream"), F.col("_zone"), True).where(F.col("utc_us").isNotNull()))
+def _segment_clocks(segments: DataFrame, tenants: DataFrame) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    from colloquy.functions.ids import dashed
+
+    known = zone_names(segments.sparkSession)
+    zones = tenants.where(F.col("zone").isin(known)).groupBy(dashed(F.col("tenantId")).alias("_t")).agg(F.min("zone").alias("_tz")).where("_t is not null")
+    # distinct names of Java's own list: bounded by it
+    candidates = sorted(r[0] for r in zones.select("_tz").distinct().collect())
+    joined = segments.withColumn("_t", dashed(F.col("tenantId"))).join(broadcast_if_small(zones), "_t", "left")
+    return joined, candidates, {"stream": dashed(F.coalesce("recordingId", "instanceId")), "clock": F.col("_t"), "stated_zone": F.col("_tz")}
+
+
+_FIELDS, _AFTER = ["startTime", "createdAt", "updatedAt"], ["createdAt", "updatedAt"]
 
 
 def segment_instants(segments: DataFrame, tenants: DataFrame, **kw) -> DataFrame:
-    """:func:`normalise_instants` for delivered segments: clocks run in the zone of the row's tenant.
+    """:func:`normalise_instants` for delivered segments: the clocks are the tenants'.
 
-    ``tenants`` (tenantId, zone) is a small fixed table: it is counted before it is broadcast, and its distinct zones are
-    the candidates for rows that lack a tenant; those rows take the zone estimated for their recording.
+    ``tenants`` (tenantId, zone) is a small fixed table: it is counted before it is broadcast. Its zone is what a row
+    states of its clock, and its distinct zones are the candidates; of a tenant given twice the first zone by name holds.
+    Rows that lack a tenant take the zone estimated for their recording.
     """
-    from colloquy.functions.ids import dashed
+    joined, candidates, clocks = _segment_clocks(segments, tenants)
+    return normalise_instants(joined, "seg_row_id", _FIELDS, "endTime", candidates=candidates, after=_AFTER, **clocks, **kw)
 
-    zones = tenants.where("zone is not null").select(dashed(F.col("tenantId")).alias("_t"), F.col("zone").alias("_tz")).dropDuplicates(["_t"])
-    candidates = sorted(r[0] for r in zones.select("_tz").distinct().limit(1000).collect())
-    joined = segments.withColumn("_t", dashed(F.col("tenantId"))).join(broadcast_if_small(zones), "_t", "left")
-    return normalise_instants(
-        joined, "seg_row_id", ["startTime", "createdAt", "updatedAt"], "endTime",
-        dashed(F.coalesce("recordingId", "instanceId")), F.col("_tz"), candidates, after=["createdAt", "updatedAt"], **kw,
-    )
+
+def segment_zones(segments: DataFrame, tenants: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(``tenant_id``, ``stated``, ``estimated``, ``blind``, ``n_values``): how the zone estimate of each tenant comes out.
+
+    ``blind`` is the estimate from the alignment of the values alone, without what the tenants state; zones that differ in
+    no value of a tenant are told apart by name only.
+    """
+    joined, candidates, c = _segment_clocks(segments, tenants)
+    read = _read(joined, "seg_row_id", _FIELDS, "endTime", c["stream"], c["clock"], c["stated_zone"], wanted).where("_own is not null and _local is not null")
+    values = cut(read.select(F.col("_own").alias("_stream"), "_stated", "_anchor", "_local", "field"))
+    best = estimate_zones(values, candidates, _AFTER).withColumnRenamed("_zone", "estimated")
+    blind = estimate_zones(values.withColumn("_stated", F.lit(None).cast("string")), candidates, _AFTER).withColumnRenamed("_zone", "blind")
+    stated = values.groupBy("_stream").agg(F.max("_stated").alias("stated"), F.count(F.lit(1)).alias("n_values"))
+    return stated.join(best, "_stream").join(blind, "_stream").select(F.col("_stream").alias("tenant_id"), "stated", "estimated", "blind", "n_values")

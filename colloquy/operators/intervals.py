@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.ids import dashed
+from colloquy.runtime import cut
 
 CHUNK_US = 3_600_000_000
 
@@ -46,7 +47,7 @@ def continuous_periods(spans: DataFrame, keys: dict[str, Column], start_us: Colu
         .agg(F.max("end_us").alias("_e"))
         .select(*k, "_chunk", F.unix_micros("session_window.start").alias("start_us"), F.col("_e").alias("end_us"))
     )
-    local = _merge_sorted(merged, [*k, "_chunk"])
+    local = cut(_merge_sorted(merged, [*k, "_chunk"]))  # read by the hours, the heads and the periods
 
     # One row per entity and hour: what reaches into it from before, and where the next hours begin.
     entity = Window.partitionBy(*k).orderBy("_chunk")

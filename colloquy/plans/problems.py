@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators.instants import EXACT_UTC, segment_instants
+from colloquy.operators.instants import EXACT_UTC, segment_instants, segment_zones
 from colloquy.operators.intervals import speaking_periods
 from colloquy.runtime import table
 
@@ -17,11 +17,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("seg_row_id", "field", "utc_us")
 
 
+def p1_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zone estimate of each tenant, with and without what the tenant states."""
+    return segment_zones(table(spark, d, "segment_requests"), table(spark, d, "tenants"), wanted=~F.col("raw").rlike(EXACT_UTC))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return speaking_periods(table(spark, d, "recorded_segments"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_found": p4_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_zones": p1_zones, "p4_found": p4_found}
 
 _UUID = "regexp_replace(regexp_replace(lower({0}), '[^0-9a-f]', '', 'g'), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 

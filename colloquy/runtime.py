@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,20 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else ``df`` itself.
+#: ... and its columns take at most this many bytes, by the width of a sample of its rows.
+BROADCAST_BYTES = 32 << 20
 
-    The count stops at ``rows + 1``; a larger side is left to a shuffle join.
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``size`` bytes together, else ``df`` itself.
+
+    The count stops at ``rows + 1``; a larger side is left to a shuffle join. Rows are measured as JSON text.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+def bounded_rows(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a table that is small by definition; an error, not a cut, when it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir`` of the session; sets a folder of our own only where none is set (tests)."""
+    """Uses ``spark.checkpoint.dir`` of the session. Where none is set, a temporary folder serves a single-machine
+    session (tests); on a cluster that folder would be each machine's own, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "colloquy-checkpoints"))
 
 
