@@ -14,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.runtime import bounded_rows, cut
+
 BLOCK_TOKENS = 256
 SHARD_SLOTS = 4_096
-#: More shards than this are not made; shards grow instead (one row per shard and source is windowed).
-MOST_SHARDS = 10_000
+#: Shards whose counts are summed up together; across these groups of shards one row each is summed up.
+SHARD_GROUP = 4_096
+#: Most target sources; more are an error.
 SOURCES = 10_000
+#: Slots that one task deals, about.
+TASK_SLOTS = 200_000
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,10 +74,13 @@ def source_blocks(sizes: DataFrame, block: int, bucket_docs: int = 20_000) -> Da
 
 
 def plan_slots(sizes: DataFrame, targets: DataFrame, block: int) -> list[dict]:
-    """Per target source its blocks and slots. ``targets`` is a small fixed table; at most ``SOURCES`` sources are taken."""
+    """Per target source its blocks and slots. ``targets`` is a small fixed table; more than ``SOURCES`` rows are an error.
+
+    Of a source given twice the smaller target, then the smaller number of repeats holds.
+    """
     available = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    wanted = targets.where("target_share > 0 and source is not null and max_repeats > 0").dropDuplicates(["source"])
-    rows = [r.asDict() for r in wanted.join(available, "source").orderBy("source").limit(SOURCES).collect()]
+    wanted = targets.where("target_share > 0 and source is not null and max_repeats > 0").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
+    rows = [r.asDict() for r in bounded_rows(wanted.join(available, "source").orderBy("source"), SOURCES, "target sources")]
     share = sum(r["target_share"] for r in rows)
     if not rows:
         return []
@@ -101,42 +109,59 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS,
     names, share = [r["source"] for r in plan], np.array([r["share"] for r in plan])
     n_blocks = {r["source"]: int(r["blocks"]) for r in plan}
     slots = sum(r["slots"] for r in plan)
-    per = max(shard_slots, -(-slots // MOST_SHARDS))
-    shards = -(-slots // per)
+    shards = -(-slots // shard_slots)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            drawn = [np.random.default_rng([seed, int(j)]).multinomial(per, share / share.sum()) for j in pdf["id"]]
+            drawn = [np.random.default_rng([seed, int(j)]).multinomial(shard_slots, share / share.sum()) for j in pdf["id"]]
             yield pd.DataFrame({"shard": np.repeat(pdf["id"].to_numpy(), len(names)), "source": names * len(pdf), "c": np.concatenate(drawn) if drawn else []}).astype({"c": "int64"})
 
     drawn = spark.range(shards).mapInPandas(draw, "shard long, source string, c long")
-    w = Window.partitionBy("source").orderBy("shard")
     goal = spark.createDataFrame([(r["source"], int(r["slots"])) for r in plan], "source string, k long")
-    run = drawn.join(F.broadcast(goal), "source").withColumns({"upto": F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("c").over(Window.partitionBy("source"))})
-    scaled = F.when(F.col("all") > 0, F.floor(F.col("upto").cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)") / F.greatest("all", F.lit(1)).cast("decimal(19,0)")).cast("bigint")).otherwise(F.floor(F.col("k") * (F.col("shard") + 1) / shards).cast("bigint"))
-    run = run.withColumn("hi", F.when(F.col("shard") == shards - 1, F.col("k")).otherwise(scaled)).withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0)))
+
+    # Running totals per source: inside groups of shards, and over one row per group ahead of them. Draws are seeded by
+    # shard, so that a lost task draws the same again; they are computed once.
+    drawn = cut(drawn.withColumn("group", F.floor(F.col("shard") / SHARD_GROUP)))
+    ahead = drawn.groupBy("source", "group").agg(F.sum("c").alias("_s"))
+    whole = Window.partitionBy("source")
+    ahead = ahead.withColumns({"_off": F.coalesce(F.sum("_s").over(whole.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("_s").over(whole)}).drop("_s")
+    w = Window.partitionBy("source", "group").orderBy("shard")
+    run = drawn.join(F.broadcast(goal), "source").join(ahead, ["source", "group"])
+    run = run.withColumns({"upto": F.col("_off") + F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+    def scaled(upto: Column, shard: Column) -> Column:  # slots of the source up to and with the shard
+        part = F.floor(upto.cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)") / F.greatest("all", F.lit(1)).cast("decimal(19,0)")).cast("bigint")
+        even = F.floor(F.col("k") * (shard + 1) / shards).cast("bigint")
+        return F.when(shard < 0, 0).when(shard == shards - 1, F.col("k")).when(F.col("all") > 0, part).otherwise(even)
+
+    run = run.withColumns({"hi": scaled(F.col("upto"), F.col("shard")), "lo": scaled(F.col("upto") - F.col("c"), F.col("shard") - 1)})
     placed = run.withColumns(
         {
             "at": F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("shard").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "in_shard": F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("shard")),
         }
     ).select("shard", "source", "lo", "hi", "at", "in_shard")
+    # a range of slots longer than a few shards (scaled draws of a small plan) becomes rows of at most TASK_SLOTS / 16
+    piece = TASK_SLOTS // 16
+    starts = F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(piece).cast("bigint"))
+    placed = placed.where("hi > lo").withColumn("from", F.explode(starts)).withColumn("to", F.least(F.col("from") + piece, F.col("hi")))
+    tasks = max(1, -(-slots // TASK_SLOTS), min(shards, spark.sparkContext.defaultParallelism))
+    placed = placed.repartition(tasks, "shard", "source", "from")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 n, code = n_blocks[r.source], names.index(r.source) + 1
-                for lo in range(r.lo, r.hi, 200_000):
-                    i = np.arange(lo, min(r.hi, lo + 200_000), dtype=np.int64)
-                    use = i // n
-                    chosen = np.empty(len(i), np.int64)
-                    for u in np.unique(use):
-                        m = use == u
-                        chosen[m] = permute(i[m] % n, n, (seed * 1_000_003 + code) * 1_000_003 + int(u))
-                    slot = permute(i - r.lo + r.at, int(r.in_shard), (seed * 7 + 3) * 1_000_003 + int(r.shard))
-                    yield pd.DataFrame({"shard": r.shard, "slot": slot, "source": r.source, "use_no": use + 1, "block": chosen})
-
-    dealt = placed.where("hi > lo").mapInPandas(deal, schema)
+                i = np.arange(r.start, r.stop, dtype=np.int64)
+                use = i // n
+                chosen = np.empty(len(i), np.int64)
+                for u in np.unique(use):
+                    m = use == u
+                    chosen[m] = permute(i[m] % n, n, (seed * 1_000_003 + code) * 1_000_003 + int(u))
+                slot = permute(i - r.lo + r.at, int(r.in_shard), (seed * 7 + 3) * 1_000_003 + int(r.shard))
+                yield pd.DataFrame({"shard": r.shard, "slot": slot, "source": r.source, "use_no": use + 1, "block": chosen})
+
+    dealt = placed.withColumnsRenamed({"from": "start", "to": "stop"}).mapInPandas(deal, schema)
     blocks = source_blocks(sizes.join(F.broadcast(goal.select("source")), "source", "left_semi"), block)
     # the slots are computed from a short range, whose size says nothing of theirs: never broadcast them
     return dealt.hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "use_no", "doc_id", "token_start", "n_tokens")

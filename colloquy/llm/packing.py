@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.runtime import cut
+from colloquy.runtime import bounded_rows, cut
 
+#: Most container sizes that ``pack_documents`` takes; more are an error.
+MOST_PACKS = 1_000
 #: Items packed together in one task; bounds its memory and time.
 BLOCK_ITEMS = 4_000
 
@@ -139,13 +141,15 @@ def pack_items(items: DataFrame, block_items: int = BLOCK_ITEMS, underfull: floa
 def pack_documents(sizes: DataFrame, packs: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(``pack_name``, ``container``, ``doc_id``, ``piece_no``, ``token_start``, ``n_tokens``, ``capacity_tokens``).
 
-    ``sizes`` is (``doc_id``, ``n_tokens``); ``packs`` is (``pack_name``, ``capacity_tokens``), a small fixed table. A
+    ``sizes`` is (``doc_id``, ``n_tokens``); ``packs`` is (``pack_name``, ``capacity_tokens``), a small fixed table (an
+    error beyond ``MOST_PACKS`` rows); of a pack given twice the smaller capacity holds. A
     document longer than a container is cut into full containers and a rest, which is an item like the others; all other
     documents stay whole. Documents without tokens take part with size 0. Packs without a name or a positive capacity
     are left out. Repeated documents are items of their own. Empty tables give no rows.
     """
-    packs = packs.where("capacity_tokens > 0 and pack_name is not null").select(F.col("pack_name").alias("pack"), F.col("capacity_tokens").cast("bigint").alias("capacity")).dropDuplicates(["pack"])
-    each = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n")).join(F.broadcast(packs.limit(1000)))
+    packs = packs.where("capacity_tokens > 0 and pack_name is not null").groupBy(F.col("pack_name").alias("pack")).agg(F.min(F.col("capacity_tokens").cast("bigint")).alias("capacity"))
+    known = [F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in bounded_rows(packs.orderBy("pack"), MOST_PACKS, "packs")]
+    each = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"), F.inline(F.array(*known).cast("array<struct<pack:string,capacity:bigint>>")))
     full, rest = F.floor(F.col("n") / F.col("capacity")), F.col("n") % F.col("capacity")
     each = each.withColumns({"full": full, "rest": rest})
     whole = each.where("full > 0").select("pack", "capacity", "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("piece_no"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.runtime import BROADCAST_ROWS
+from colloquy.runtime import BROADCAST_ROWS, cut
 
 #: Copies of a bound where the bounds are too many to broadcast: rows of a hot group spread over so many join keys.
 SALTS = 16
@@ -40,7 +40,7 @@ def _local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             pending.append(b)
             rows += b.num_rows
-        if rows > 200_000:
+        if rows > max(200_000, kept.num_rows if kept is not None else 0):  # sorted again only when as much has come in
             kept = prune(([kept.drop(["rank"])] if kept is not None else []) + pending)
             pending, rows = [], 0
     if pending:
@@ -60,7 +60,7 @@ def top_n(rows: DataFrame, group: Column, n: Column, score: Column, tie: Column,
     base = base.where(F.col("g").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("n") >= 1))
     local = base.mapInArrow(_local_best, base.schema)
     worst_first = F.struct((-F.col("score")).alias("s"), F.col("tie").alias("t"), F.col("id").alias("i"))
-    bounds = local.groupBy("g").agg(F.min(worst_first).alias("bound"))
+    bounds = cut(local.groupBy("g").agg(F.min(worst_first).alias("bound")))
     if bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         bounded = base.join(F.broadcast(bounds), "g", "left")
     else:
