@@ -14,7 +14,7 @@ from colloquy.llm.pairs import segment_pairs
 from colloquy.llm.subjects import assign_subjects, composition
 from colloquy.llm.tokens import n_tokens
 from colloquy.llm.topn import instance_keyphrases
-from colloquy.llm.turns import speaker_turns
+from colloquy.llm.turns import boundary_figures, speaker_turns
 from colloquy.runtime import cut, table
 
 
@@ -34,6 +34,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(table(spark, d, "spoken_segments"), table(spark, d, "speakers"))
 
 
+def p6_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return boundary_figures(table(spark, d, "spoken_segments"), table(spark, d, "speakers"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their tokens, counted once."""
     return cut(table(spark, d, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
@@ -64,7 +68,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_boundaries": p6_boundaries,
     "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 

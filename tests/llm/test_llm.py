@@ -92,7 +92,21 @@ ROSTER = ((WHO[0], 1, "Yorick Brackwen"), (WHO[1], 2, "Quilla Nettlesby"))
     ],
 )
 def test_segment(text, spoken, expected):
-    assert [(WHO.index(w), n) for w, n, _, _ in turns.split_segment(text, spoken, ROSTER)] == expected
+    speech = turns.Speech(turns.train_fillers([]))
+    assert [(WHO.index(w), n) for w, n, *_ in turns.split_segment(text, spoken, ROSTER, speech)] == expected
+
+
+def test_fillers_held_out(monkeypatch):
+    """Sounds and words the trees were not trained on, spelled in other ways; and every listed one left out in turn."""
+    speech = turns.Speech(turns.train_fillers(["we would split the umbrella term on the platform", "an error in the room at noon"]))
+    assert all(map(speech.is_hesitation, ["Uuuhm", "ERRRR", "hmmmm", "ummmmm…", "ehhm,", "mmmmm"]))
+    assert not any(map(speech.is_hesitation, ["umbrella", "error", "term", "like", "ok", "her", "hear", "Hum,", "room", "me", "12", "uhlmann", "…", "are", "summer"]))
+    right = []
+    for out in turns.SOUNDS:
+        monkeypatch.setattr(turns, "SOUNDS", [s for s in turns.SOUNDS if s != out])
+        right.append(turns.Speech(turns.train_fillers([])).is_hesitation(out))
+        monkeypatch.undo()
+    assert sum(right) / len(right) >= 0.8
 
 
 def test_turns(spark):
@@ -107,6 +121,7 @@ def test_turns(spark):
     got = sorted((r["turn_no"], WHO.index(r["spoken_by"]), r["sp_row_id"], r["n_words"]) for r in turns.speaker_turns(df, who).collect())
     assert got == [(1, 0, 1, 3), (2, 1, 5, 30_000), (3, 0, 7, 1), (4, 1, 7, 1)]
     assert turns.speaker_turns(df.limit(0), who).count() == 0
+    assert {r["names"] for r in turns.boundary_figures(df, who).collect()} == {"shown", "hidden"}
 
 
 def test_turns_compare_with_the_last_known_speaker(spark, monkeypatch):
