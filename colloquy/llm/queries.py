@@ -11,7 +11,7 @@ from colloquy.llm.copies import phrase_copies
 from colloquy.llm.mixing import mix_sources, share_report
 from colloquy.llm.packing import fill_report, pack_documents
 from colloquy.llm.pairs import segment_pairs
-from colloquy.llm.subjects import assign_subjects, composition
+from colloquy.llm.subjects import assign_subjects, composition, held_out
 from colloquy.llm.tokens import n_tokens
 from colloquy.llm.topn import instance_keyphrases
 from colloquy.llm.turns import boundary_figures, speaker_turns
@@ -60,7 +60,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return assign_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+def p9_held_out(spark: SparkSession, d: str) -> DataFrame:
+    return held_out(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
 
 
 def p9_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +73,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_boundaries": p6_boundaries,
-    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
+    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_held_out": p9_held_out, "p9_composition": p9_composition,
 }
 
 _BARE = "lower(regexp_replace(originalForm, '[^\\p{L}\\p{N}\\p{M}]+', '', 'g'))"

@@ -210,10 +210,30 @@ def test_mixture(spark):
 
 def test_background_does_not_vote():
     t = "a milking robot. unlike a solar tracker, which belongs to another field, no inverter stage is needed here. the teat cup is clean.\nby way of comparison, a turbine.\n\nthe end"
-    f = subjects.foreground(t)
+    f = subjects.foreground(t, ["way of comparison", "unlike a "])
     assert len(f) == len(t) and "inverter" not in f and "turbine" not in f and "teat cup" in f and "the end" in f and "milking robot" in f
 
 
+def test_sections_without_headings():
+    long = "x" * 5_000
+    assert subjects.section_starts(f"title\nabstract\n{long}\n\nmore\nclaims\n1. y") == (6, 6 + 9 + 5_000, 6 + 9 + 5_000 + 7)
+    assert subjects.section_starts(f"title\nabstract {long}") == (6, 5_015, 5_015)
+
+
+def test_background_phrases_are_learned(spark):
+    rows = [(f"the {own} is new. by way of comparison, the {other} is used. the {own} turns.", [s]) for own, other, s in [("milking robot", "rotor hub", "food"), ("rotor hub", "milking robot", "energy")] * 5]
+    docs = spark.createDataFrame(rows, "text string, subjects array<string>")
+    cues = subjects.learn_cues(docs, {"milking robot": "food", "rotor hub": "energy"})
+    assert "by way of" in cues and "way of comparison" in cues and not any("turns" in c or "new" in c for c in cues)
+    assert subjects.learn_cues(docs, {}) == [] and subjects.learn_cues(docs.limit(0), {"a": "b"}) == []
+
+
+def test_described_terms(spark):
+    sample = spark.createDataFrame([(["payment", "order", "lens"],)] + [(["order", "pay"],)] * 9, "terms array<string>")
+    table = spark.createDataFrame([("finance", "Money", "Payments and orders"), ("optics", "Light", "Lenses")], "subject string, title string, description string")
+    assert [tuple(r) for r in subjects.described_terms(sample, table, stem=4).collect()] == [("lens", "optics"), ("payment", "finance")]
+
+
 def test_subjects_held_out(spark):
     r = random.Random(9)
     words = {"food": ["milk teat", "seed drill"], "optics": ["lens mount", "light beam"], "sport": ["ski boot", "ball net"], "energy": ["rotor hub", "heat tank"], "pharma": ["salt form", "tablet coat"], "finance": ["card fee", "order book"]}
@@ -233,3 +253,5 @@ def test_subjects_held_out(spark):
     assert hit / len(held) > 0.9 and hit / max(1, len({g for g in got if g[0] % 4 and g[0] < 1000})) > 0.9
     assert {t for t in truth if t[0] % 4 == 0} <= got
     assert subjects.assign_subjects(docs.limit(0), labels).count() == 0
+    r = subjects.held_out(docs, labels).first()
+    assert r["hidden"] > 5 and r["labelled"] + r["hidden"] == 90 and r["precision"] > 0.85 and r["recall"] > 0.85
