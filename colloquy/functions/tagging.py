@@ -61,20 +61,38 @@ def filter_by_pos(tagged: Column, tags: list[str]) -> Column:
     return F.filter(tagged, lambda x: x["pos"].isin(tags) & (x["tok"] != "XnumberX"))
 
 
-#: Grammars over tag sequences: candidate phrases and action phrases.
-CANDIDATES = [r"(?:(?:<JJ[^>]*>)*(?:<NN[^>]*>)+<IN>)?(?:<JJ>)*(?:<NN[^>]*>)+", r"(?:<VB[^>]*>)(?:<[^>]+>){0,2}?(?:<NN[^>]*>)+", r"(?:<NN[^>]*>)+(?:<[^>]+>){0,2}?(?:<NN[^>]*>)+"]
-ACTIONS = [r"(?:<MD>|<VB>)+(?:<[^>]+>){0,2}?<VB>+(?:<[^>]+>){0,2}?(?:<NN[^>]*>)+", r"(?:<MD>|<VB>)+(?:<[^>]+>){0,5}?<VB>+(?:<[^>]+>){0,5}?(?:<NN[^>]*>)+"]
+#: Grammars over tag sequences: candidate phrases, action phrases and what the action is; later ones only where the earlier find nothing (actions, subjects).
+CANDIDATES = [r"(?:(?:<JJ[^>]*>)*(?:<NN[^>]*>)+<IN>)?(?:<JJ>)*(?:<NN[^>]*>)+", r"<VB+>(?:<[^>]+>){0,2}(?:<NN[^>]+>)+", r"(?:<NN[^>]+>)+(?:<[^>]+>){0,2}(?:<NN[^>]+>)+"]
+_NOUNS = r"(?:<NN[^>]*>)+(?:(?:<[^>]+>){0,2}(?:<JJ[^>]*>)*(?:<NN[^>]*>)+)*"
+ACTIONS = [rf"(?:<MD>|<VB>)+(?:<[^>]+>){{0,2}}(?:<VB>)+(?:<[^>]+>){{0,{gap}}}{_NOUNS}" for gap in (2, 5)]
+SUBJECTS = [rf"(?:<VB>)+(?:<[^>]+>){{0,{gap}}}{_NOUNS}" for gap in (2, 5)]
+
+
+def tokens_of(text: str) -> list[str]:
+    """Words and single punctuation marks."""
+    return _TOKEN.findall(text)
 
 
 def chunk_tags(tokens: list[str], tags: list[str], grammar: str) -> list[str]:
-    """Phrases of the tokens whose tags match ``grammar``, left to right, without overlaps."""
-    starts, at = {}, 0
-    for i, t in enumerate(tags):
-        starts[at] = i
-        at += len(t) + 2
-    starts[at] = len(tags)
-    line = "".join(f"<{t}>" for t in tags)
-    return [" ".join(tokens[starts[m.start()] : starts[m.end()]]) for m in re.finditer(grammar, line) if m.end() > m.start()]
+    """Phrases of the tokens whose tags match ``grammar``; matches that touch are one phrase. No match spans a sentence end."""
+    out, at = [], 0
+    ends = [i for i, t in enumerate(tags) if t == "." and tokens[i] in ".?!"] + [len(tags)]
+    for end in ends:
+        starts, n = {}, 0
+        for i in range(at, end):
+            starts[n] = i
+            n += len(tags[i]) + 2
+        starts[n] = end
+        line, runs = "".join(f"<{t}>" for t in tags[at:end]), []
+        for m in re.finditer(grammar, line):
+            if m.end() > m.start():
+                if runs and runs[-1][1] == m.start():
+                    runs[-1][1] = m.end()
+                else:
+                    runs.append([m.start(), m.end()])
+        out += [" ".join(tokens[starts[a] : starts[b]]) for a, b in runs]
+        at = end + 1
+    return out
 
 
 def chunk(tagged: Column, grammars: list[str] = CANDIDATES, first_only: bool = False) -> Column:
@@ -95,6 +113,26 @@ def chunk(tagged: Column, grammars: list[str] = CANDIDATES, first_only: bool = F
     return F.pandas_udf(run, "array<string>")(tagged)
 
 
+def all_tags_allowed(phrases: Column, tags: list[str], tag: Callable[[str], str] = default_tag) -> Column:
+    """The phrases every token of which has one of ``tags``."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([[p for p in x if all(tag(w) in tags for w in _TOKEN.findall(p))] if x is not None else [] for x in lists], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(phrases)
+
+
+def query_text(words: Column, tags: list[str], tag: Callable[[str], str] = default_tag) -> Column:
+    """One word stands for itself; of several, joined by blanks, the tokens with one of ``tags`` are kept."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series(["" if x is None or len(x) == 0 else x[0] if len(x) == 1 else " ".join(w for w in _TOKEN.findall(" ".join(x)) if tag(w) in tags) for x in lists], dtype=object)
+
+    return F.pandas_udf(run, "string")(words)
+
+
 def negated(tokens: Column, at: Column, drop: list[str] = ("cannot", "not")) -> Column:
     """Whether one of the three tokens before position ``at`` (from 0) is a negation."""
     return F.arrays_overlap(F.slice(tokens, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), F.array(*[F.lit(w) for w in drop]))
@@ -121,6 +159,11 @@ def entity_preference(label: Column) -> Column:
     return out
 
 
+def preferred_label(labels: Column) -> Column:
+    """The label of an array that :func:`entity_preference` puts first; equals by name."""
+    return F.array_min(F.transform(labels, lambda k: F.struct(entity_preference(k).alias("p"), k.alias("k"))))["k"]
+
+
 def encode(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray] | None = None) -> Column:
     """Sentence vector ARRAY<DOUBLE>; by default hashed words, signed and normalised. A blank text is the zero vector."""
 

@@ -12,7 +12,7 @@ from colloquy.runtime import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 _ID = "regexp_replace(replace(lower({0}), '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')".format
 
 

@@ -38,21 +38,48 @@ _SENT = "list_filter(string_split(regexp_replace(trim(originalText), '([.?!])\\s
 _each("missing_space_fix", text.missing_space_fix, "regexp_replace(originalText, '([a-z][.?])([A-Z])', '\\1 \\2', 'g')")
 _each("ensure_terminal_punct", text.ensure_terminal_punct, "replace(case when regexp_matches(originalText, '[.?!]$') then originalText else originalText || '. ' end, '?.', '?')")
 _each("sent_tokenize", lambda t: F.array_join(text.sentences(t), "|"), f"array_to_string({_SENT}, '|')")
-_each("split_sentences_short", text.split_sentences_short, "case when contains(originalText, '.') then array_to_string(list_transform(list_filter(string_split(originalText, '.'), lambda s: len(string_split(trim(s), ' ')) > 3), lambda s: trim(s)), '. ') else '' end")
+_each("split_sentences_short", text.split_sentences_short, "case when contains(originalText, '.') then array_to_string(list_transform(list_filter(string_split(originalText, '.'), lambda s: len(string_split(s, ' ')) > 3), lambda s: trim(s)), '. ') else '' end")
 _each("expand_contractions", text.expand_contractions, f"list_reduce(list_prepend(originalText, string_split(originalText, ' ')), lambda acc, w: replace(acc, w, coalesce({_CMAP}[w], w)))")
 _each("expand_contractions_tok", text.expand_contractions_tok, f"' ' || array_to_string(list_transform(string_split(originalText, ' '), lambda w: coalesce({_CMAP}[w], w)), ' ')")
 _each("contraction_map", lambda t: F.size(F.filter(F.split(t, " "), lambda w: w.isin(list(_CM)))).cast("bigint"), f"cast(len(list_filter(string_split(originalText, ' '), lambda w: list_contains({_sql_list(list(_CM))}, w))) as bigint)")
 _each("newline_to_period", text.newline_to_period, "replace(originalText, chr(10), '. ')")
 _each("strip_punct", text.strip_punct, "translate(originalText, '" + text.PUNCTUATION.replace("'", "''") + "', '')")
 _each("mask_numbers", text.mask_numbers, "regexp_replace(originalText, '\\d+\\.+\\d+|\\d+', 'XnumberX', 'g')")
-_each("remove_stopwords", text.remove_stopwords, f"array_to_string(list_filter(regexp_split_to_array(originalText, '\\s+'), lambda w: not list_contains({_STOP}, lower(w)) and w <> ''), ' ')")
-_each("mask_urls", text.mask_urls, "regexp_replace(originalText, '(?:https?://|www\\.)\\S+|\\b[a-z0-9-]+\\.(?:com|org|net|io|edu|gov|co)\\b(?:/\\S*)?', '__url__', 'g')")
-_each("strip_emoji", text.strip_emoji, "regexp_replace(originalText, '[\\x{1F300}-\\x{1F64F}\\x{1F680}-\\x{1F6FF}\\x{1F900}-\\x{1F9FF}\\x{2600}-\\x{27BF}]+', '', 'g')")
-_each("clean_text", text.clean_text)
+
+
+def _swapped(t: str, condition: str, new: str) -> str:
+    """For each blank-separated token ``w`` of ``t`` with ``condition``, the string is replaced everywhere, in order."""
+    return f"list_reduce(list_prepend({t}, string_split({t}, ' ')), lambda acc, w: case when {condition} then replace(acc, w, {new}) else acc end)"
+
+
+def _stopped(t: str) -> str:
+    return _swapped(t, f"w <> '' and list_contains({_STOP}, lower(w))", "' '")
+
+
+def _clean(t: str) -> str:
+    """``text.clean_text`` of the SQL expression ``t``."""
+    t = f"replace(list_reduce(list_prepend({_NOEMOJI(t)}, string_split({_NOEMOJI(t)}, ' ')), lambda acc, w: replace(acc, w, coalesce({_CMAP}[w], w))), '\n', '. ')"
+    for old, new in (("\\n", ""), ("\u2019", "''"), ("\\", ""), ("\u2018", "''")):
+        t = f"replace({t}, '{old}', '{new}')"
+    t = f"regexp_replace({t}, '{text.URL}', '\\1__url__', 'g')"
+    for old, new in ((":", ". "), ("\u201d", "''"), ("\u201c", "''"), ("\u200a\u2014\u200a", " "), ("\xa0", "")):
+        t = f"replace({t}, '{old}', '{new}')"
+    return f"trim(replace(replace(regexp_replace({t}, ' +', ' ', 'g'), '\t', ''), '\n', ''))"
+
+
+_NOEMOJI = lambda t: f"regexp_replace({t}, '{text.EMOJI}', '', 'g')"
+
+_each("remove_stopwords", text.remove_stopwords, _stopped(T))
+_each("mask_urls", text.mask_urls, f"regexp_replace(originalText, '{text.URL}', '\\1__url__', 'g')")
+_each("strip_emoji", text.strip_emoji, _NOEMOJI(T))
+_each("clean_text", text.clean_text, _clean(T))
+_each("preprocess_text", lambda t: F.array_join(text.preprocess_text(t, text.STOP_WORDS), "|"), f"array_to_string(list_transform(list_transform({_SENT}, lambda s: {_clean('s')}), lambda c: {_stopped('c')}), '|')")
 _each("word_count", lambda t: text.word_count(t).cast("bigint"), "cast(case when trim(originalText) = '' then 0 else len(regexp_split_to_array(trim(originalText), '\\s+')) end as bigint)")
 _each("ner_tokenize", lambda t: F.array_join(text.ner_tokenize(t), " "), "array_to_string(regexp_extract_all(originalText, '([\\w]+|[^\\w\\s])'), ' ')")
 _each("clean_word", text.clean_word, "trim(regexp_replace(originalText, '[^A-Za-z0-9''.&-]', ' ', 'g'))")
-_each("basic_tokenize", lambda t: F.array_join(text.basic_tokenize(t), " "), "array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(originalText), '([\\p{P}\\p{S}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), ' ')")
+_each("strip_accents", text.strip_accents, "strip_accents(originalText)")
+_BASIC = f"strip_accents(lower(regexp_replace(originalText, '{text.IDEOGRAPH}', ' \\1 ', 'g')))"
+_each("basic_tokenize", lambda t: F.array_join(text.basic_tokenize(t), " "), f"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace({_BASIC}, '([\\p{{P}}\\p{{S}}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), ' ')")
 _each("text_standardize", text.text_standardize)
 _each("fix_apostrophes", text.fix_apostrophes, "replace(originalText, ' ''', '''')")
 _each("first_upper", text.first_upper, "upper(substr(originalText, 1, 1)) || substr(originalText, 2)", "originalText <> ''")
@@ -65,6 +92,7 @@ _each("filter_by_pos", lambda t: F.array_join(F.transform(tagging.filter_by_pos(
 _each("segment_nouns", lambda t: F.array_join(F.transform(F.filter(tagging.pos_tag(t), lambda x: x["pos"].startswith("NN")), lambda x: x["tok"]), " "))
 _each("candidate_phrases", lambda t: F.array_join(tagging.chunk(tagging.pos_tag(t)), "|"))
 _each("action_grammar", lambda t: F.array_join(tagging.chunk(tagging.pos_tag(t), tagging.ACTIONS, first_only=True), "|"))
+_each("query_text", lambda t: tagging.query_text(F.split(t, " "), ["NN", "NNS", "NNP", "JJ"]))
 _each("negation_filter", lambda t: F.size(F.filter(F.sequence(F.lit(0), F.size(text.words(t))), lambda i: tagging.negated(text.words(t), i))).cast("bigint"))
 _each("udf_ner", lambda t: F.to_json(tagging.entities(t)))
 _each("udf_encode", lambda t: F.to_json(F.transform(tagging.encode(t, 16), lambda x: F.round(x, 6))))
@@ -87,27 +115,42 @@ def _sentence(name: str, make, sql: str | None = None) -> None:
 
 
 _WC = "(case when trim(s) = '' then 0 else len(regexp_split_to_array(trim(s), '\\s+')) end)"
-_TOK = "regexp_extract_all(lower(s), '([a-z'']+)')"
+_TOK = "string_split(lower(s), ' ')"
 _any = lambda ws: f"list_has_any({_TOK}, {_sql_list(ws)})"
-_phr = lambda ps: "(" + " or ".join(f"contains(lower(s), '{p}')" for p in ps) + ")"
-_SUBST = f"(len(list_filter({_TOK}, lambda w: not list_contains({_STOP}, w))) > 4 or (len(coalesce({_TOK}[-1], '')) > 4 and len(list_filter({_TOK}, lambda w: not list_contains({_STOP}, w))) > 3))"
-_SCORE = f"(case when {_phr(actions.OMIT)} or ends_with(trim(s), '?') or {_WC} <= 2 then 0.0 when {_phr(actions.FIXED)} then 1.0 when {_any(actions.MARKERS)} then 0.8 else 0.0 end)"
-
-_sentence("questions", actions.is_question, f"({_WC} > 2 and ends_with(trim(s), '?'))")
+_EXPANDED = f"(' ' || array_to_string(list_transform(string_split(s, ' '), lambda w: coalesce({_CMAP}[w], w)), ' '))"
+_phr = lambda ps: "(" + " or ".join("contains(lower(" + _EXPANDED + "), '" + p.replace("'", "''") + "')" for p in ps) + ")"
+_KEPT = f"len(list_filter(string_split(s, ' '), lambda w: not list_contains({_sql_list(actions.ACTION_STOP)}, w)))"
+_SUBST = f"({_KEPT} > 4 or (len(string_split(s, ' ')[-1]) > 4 and {_KEPT} > 3))"
+_IS_FIXED = f"({_phr(actions.EXPANDED_FIXED)} and not {_phr(actions.OMIT)})"
+_SCORE = f"(case when len(string_split(s, ' ')) <= 2 then 0.0 when {_IS_FIXED} then 1.0 when {_any(actions.MARKERS)} then 0.8 else 0.0 end)"
+_FIRST, _SECOND, _COMBINED = (_any(ws) for ws in (actions.FIRST_PERSON, actions.SECOND_PERSON, actions.COMBINED))
+
+_sentence("questions", lambda s: actions.is_question(s, actions.action_subjects(s)))
+_sentence("ai_subjects", lambda s: F.array_join(actions.action_subjects(s), "|"))
 _sentence("ai_postcheck", actions.has_marker, _any(actions.MARKERS))
+_sentence("ai_fixed_lists", actions.is_fixed, _IS_FIXED)
 _sentence("udf_ai_prob", actions.action_score, f"cast({_SCORE} as double)")
 _sentence("ai_response_filter", actions.substantial, _SUBST)
-_sentence("ai_candidates", actions.is_action_item, f"({_WC} > 2 and case when {_phr(actions.FIXED)} and not {_phr(actions.OMIT)} then {_SCORE} >= 0.5 else {_SCORE} >= 0.8 and {_any(actions.MARKERS)} and {_SUBST} end)")
-_sentence("ai_assignee", actions.assignee, f"cast(case when {_any(['we', 'us', 'our', chr(108) + 'et' + chr(39) + 's', 'we' + chr(39) + 'll'])} and not {_any(['i', 'me', 'my', 'i' + chr(39) + 'll', 'i' + chr(39) + 'd'])} then 2 else 0 end as bigint)")
+_sentence("ai_candidates", lambda s: actions.is_action_item(s, actions.action_subjects(s)))
+_sentence("ai_assignee", actions.assignee, f"cast(case when ({_COMBINED} and not {_FIRST} and not {_SECOND}) or ({_FIRST} and {_SECOND}) then 2 else 0 end as bigint)")
 _sentence("lemmatize", lambda s: F.array_join(F.transform(text.words(s), text.lemma), " "))
 _sentence("gs_preprocess_filter", lambda s: text.word_count(s) > 10, f"{_WC} > 10")
 
 
 def ai_api(spark: SparkSession, d: str) -> DataFrame:
-    """Action items and questions per segment, with the assignee."""
-    s = _sentences(spark, d)
-    kind = F.when(actions.is_question(F.col("s")), "question").when(actions.is_action_item(F.col("s")), "action_item")
-    return s.withColumn("kind", kind).where("kind is not null").select("seg_row_id", F.col("pos").cast("bigint").alias("pos"), "kind", text.first_upper(F.col("s")).alias("subject"), actions.assignee(F.col("s")).alias("assignee"))
+    """Action items and questions per segment: (``seg_row_id``, ``pos``, ``kind``, ``subject``, ``is_assignee_both``).
+
+    An item that came by no fixed phrase must be substantial.
+    """
+    s = _sentences(spark, d).withColumn("subjects", actions.action_subjects(F.col("s")))
+    s = s.withColumns({"question": actions.is_question(F.col("s"), F.col("subjects")), "item": actions.is_action_item(F.col("s"), F.col("subjects")), "text": actions.action_text(F.col("s"), F.col("subjects"))})
+    item = F.col("item") & (actions.is_fixed(F.col("s")) | actions.substantial(F.col("text")))
+    both = actions.assignee(F.col("s")) == 2
+    found = F.array_compact(F.array(
+        F.when(item, F.struct(F.lit("action_item").alias("kind"), F.col("text").alias("subject"), both.alias("is_assignee_both"))),
+        F.when(F.col("question"), F.struct(F.lit("question").alias("kind"), F.col("s").alias("subject"), F.lit(None).cast("boolean").alias("is_assignee_both"))),
+    ))
+    return s.select("seg_row_id", F.col("pos").cast("bigint").alias("pos"), F.inline(found))
 
 
 QUERIES["ai_api"] = ai_api
@@ -171,3 +214,34 @@ def format_time(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["format_time"] = format_time
 SQL["format_time"] = "select seg_row_id, epoch_us(try_cast(regexp_replace(endTime, '(\\.\\d{6})\\d+', '\\1') as timestamptz)) end_us from segment_requests"
+
+
+_TLD_SQL = "(?:" + "|".join(text.DOMAINS) + "|[a-z]{2})"
+_UP = "(upper(substr({0}, 1, 1)) || lower(substr({0}, 2)))".format
+_DOMAIN = SQL["url_domain"].split("seg_row_id, ")[1].split(" as value")[0].replace("originalText", "w")
+
+
+def capitalize_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities' names, word by word."""
+    e = table(spark, d, "entities").where("originalForm is not null")
+    return e.select("ent_id", F.get(text.capitalize_entities(F.array("originalForm")), F.lit(0)).alias("value"))
+
+
+QUERIES["capitalize_entities"] = capitalize_entities
+SQL["capitalize_entities"] = f"""select ent_id, array_to_string(list_transform(list_filter(regexp_split_to_array(originalForm, '\\s+'), lambda w: w <> ''), lambda w:
+case when contains(w, '.') then case when regexp_matches(w, '(?i)^(?:https?:|www\\.)|\\.{_TLD_SQL}(?:/|$)') then {_UP(_DOMAIN)} else array_to_string(list_transform(string_split(w, '.'), lambda x: {_UP('x')}), '.') end
+when list_contains({_STOP}, lower(w)) then lower(w) when regexp_matches(w, '^\\p{{Lu}}') then w else {_UP('w')} end), ' ') as value from entities where originalForm is not null"""
+
+
+def ner_label_priority(spark: SparkSession, d: str) -> DataFrame:
+    """Of the labels that an entity got in its segment the preferred one."""
+    from colloquy.functions.ids import dashed
+
+    e = table(spark, d, "entities").where("segmentId is not null and originalForm is not null and label is not null")
+    labels = e.groupBy(dashed(F.col("segmentId")).alias("segment"), F.lower("originalForm").alias("name")).agg(F.collect_set("label").alias("labels"))
+    return labels.select("segment", "name", tagging.preferred_label(F.col("labels")).alias("label"))
+
+
+QUERIES["ner_label_priority"] = ner_label_priority
+SQL["ner_label_priority"] = """select lower(segmentId) segment, lower(originalForm) "name", arg_min(label, (case label when 'MISC' then '1' when 'ORG' then '2' when 'PER' then '3' when 'LOC' then '4' when 'O' then '5' else '6' end) || label) label
+from entities where segmentId is not null and originalForm is not null and label is not null group by 1, 2"""

@@ -16,10 +16,17 @@ def one(spark, make, value):
     [
         (text.missing_space_fix, "aB a.B z?Q", "aB a. B z? Q"),
         (text.split_sentences_short, "a b c d. x y. e f g h", "a b c d. e f g h"),
+        (text.split_sentences_short, "a b c d. x y z. e f g h", "a b c d. x y z. e f g h"),
         (text.expand_contractions, "I can't, can't", "I cannot, cannot"),
         (text.ensure_terminal_punct, "well", "well. "),
         (text.mask_numbers, "3.14 and 12", "XnumberX and XnumberX"),
         (text.mask_urls, "see www.x.org/a now", "see __url__ now"),
+        (text.mask_urls, "write to me@x.org or see x.de.", "write to me@x.org or see __url__."),
+        (text.expand_contractions, "I'd go, he's", "I would go, he is"),
+        (text.remove_stopwords, "cat and hand", "c t   h    d".replace("c t", "cat")),
+        (text.clean_text, "It’s at: x.com/a \n ok 😀", "It's at. __url__ . ok"),
+        (lambda t: F.array_join(text.basic_tokenize(t), " "), "Él Niño 東京!", "el nino 東 京 !"),
+        (lambda t: F.array_join(text.capitalize_entities(F.array(t)), "|"), "new york OF the www.example.com/a a.b", "New York of the Example.com A.B"),
         (text.acronym_join, "the a b c test", "the abc test"),
         (text.fix_apostrophes, "it 's", "it's"),
         (dashed, "{A67E29E01F0E4010B2207F110E22D905}", "a67e29e0-1f0e-4010-b220-7f110e22d905"),
