@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.vectors import cosine
+
 
 def segment_quality(phrases: DataFrame, by: list[str], score: Column) -> DataFrame:
     """(``by``..., ``quality_mean``, ``quality_median``, ``phrases``) of the scores; nulls and NaN do not count."""
@@ -27,25 +29,112 @@ def dynamic_top_n(total: Column, top_n: Column) -> Column:
     return F.when(top_n.isin(5, 10), top_n).otherwise(F.least(F.greatest(top_n, F.floor(total / 3)), F.lit(10)))
 
 
-def threshold_phrases(phrases: DataFrame, session: str) -> DataFrame:
-    """Adds ``removed``: keyphrases not above the session's mean; entities of preference 3 and 4 likewise if there are two or more.
+def located(phrases: DataFrame, segments: DataFrame) -> DataFrame:
+    """``phrases`` (``segment``, ``kind``, ``phrase``, ...) with ``loc``, ``offset`` and ``removed``: where in its segment's text a phrase stands.
+
+    ``segments`` is (``segment``, ``session``, ``text``, ``seconds``), one row each. ``offset`` is the segment's time after the first of its
+    session, ``loc`` the position in the text plus that. An entity is also looked for in lower case. Phrases that do not
+    occur, entities with a ``*`` and keyphrases with a ``*`` and a full stop are ``removed`` and have no ``loc``. Phrases
+    of unknown segments are left out.
+    """
+    first = segments.groupBy("session").agg(F.min("seconds").alias("_first"))
+    s = segments.join(first, "session").select("segment", "session", "text", (F.col("seconds") - F.col("_first")).alias("offset"))
+    exact, low = (F.position(p, F.col("text")) for p in (F.col("phrase"), F.lower("phrase")))
+    entity, star = F.col("kind") == "entity", F.col("phrase").contains("*")
+    at = F.when(exact > 0, exact).when(entity, low).otherwise(F.lit(0))
+    ok = (at > 0) & F.when(entity, ~star).otherwise(~(star & F.col("phrase").contains(".")))
+    out = phrases.join(s, "segment").withColumn("removed", ~F.coalesce(ok, F.lit(False)))
+    return out.withColumn("loc", F.when(~F.col("removed"), at - 1 + F.col("offset")).cast("double")).drop("text")
+
+
+def local_relevance(phrases: DataFrame, vectors: DataFrame, segment_vector: str, phrase_vector: str, norm_limit: int = 4) -> DataFrame:
+    """Adds ``segsim`` and ``boosted``: cosine of a phrase's and its segment's vector over its length, and that plus ``pagerank``.
+
+    ``vectors`` is (``key``, ``vec``), one row each; the named columns hold keys. A vector that is missing or zero gives 0. A phrase of more than
+    ``norm_limit`` words is divided by its length beyond ``norm_limit`` - 1, another one by its length.
+    """
+    v = lambda name, key: vectors.select(F.col("key").alias(key), F.col("vec").alias(name))
+    both = phrases.join(v("_s", segment_vector), segment_vector, "left").join(v("_p", phrase_vector), phrase_vector, "left")
+    words = F.size(F.filter(F.split("phrase", r"\s+"), lambda w: w != ""))
+    over = F.when(words > norm_limit, words - (norm_limit - 1)).otherwise(F.greatest(words, F.lit(1)))
+    sim = F.coalesce(cosine(F.col("_s"), F.col("_p")), F.lit(0.0)) / over
+    return both.withColumn("segsim", sim).withColumn("boosted", F.coalesce("pagerank", F.lit(0.0)) + F.col("segsim")).drop("_s", "_p")
+
+
+def segment_qualities(phrases: DataFrame, form: str = "descriptive") -> DataFrame:
+    """(``session``, ``segment``, ``kind``, ``mean``, ``median``) of ``boosted``: of the entities, and of the keyphrases of type ``form``.
+
+    A segment that has phrases but none of a kind has 0 for it.
+    """
+    own = (F.col("kind") == "entity") | (F.col("type") == form)
+    s = F.when(own & ~F.isnan("boosted"), F.col("boosted"))
+    q = phrases.groupBy("session", "segment", "kind").agg(F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"))
+    return q.withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "median": F.coalesce("median", F.lit(0.0))})
+
+
+def normalised_relevance(phrases: DataFrame, qualities: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Adds ``norm_boosted`` and ``quality``: ``boosted`` times the segment's quality and number of sentences over the session's summed quality.
+
+    Quality is the median for keyphrases and the mean for entities; ``sentences`` is (``segment``, ``sentences``). Null where the sum is 0.
+    """
+    q = qualities.withColumn("_q", F.when(F.col("kind") == "entity", F.col("mean")).otherwise(F.col("median")))
+    total = q.groupBy("session", "kind").agg(F.sum("_q").alias("_total"))
+    joined = phrases.join(q.select("segment", "kind", "_q", F.col("mean").alias("quality")), ["segment", "kind"]).join(total, ["session", "kind"]).join(sentences, "segment")
+    return joined.withColumn("norm_boosted", F.try_divide(F.col("boosted") * F.col("_q") * F.col("sentences"), "_total")).drop("_q", "_total", "sentences")
+
+
+def threshold_phrases(phrases: DataFrame, score: Column, quality: Column) -> DataFrame:
+    """``removed`` by score: keyphrases not above the ``quality``; entities of preference over 2 but not 5 likewise, if the segment has two or more.
+
+    Other entities with a positive score that are not ``related`` to a keyphrase come back. Needs ``segment``, ``kind``, ``preference``,
+    ``related`` and ``removed``; a null or NaN score leaves ``removed`` as it is.
+    """
+    n = phrases.where("kind = 'entity'").groupBy("segment").agg(F.count(F.lit(1)).alias("_n"))
+    s = F.when(~F.isnan(score), score)
+    weak = (F.col("preference") > 2) & (F.col("preference") != 5)
+    low = F.coalesce(s <= quality, F.lit(False))
+    entity = F.when(weak, F.col("removed") | ((F.col("_n") >= 2) & low)).when((s > 0) & ~F.coalesce("related", F.lit(False)), F.lit(False)).otherwise(F.col("removed"))
+    out = phrases.join(n, "segment", "left")
+    return out.withColumn("removed", F.coalesce(F.when(F.col("kind") == "entity", entity).otherwise(F.col("removed") | low), F.lit(False))).drop("_n")
+
+
+def related_entities(phrases: DataFrame) -> DataFrame:
+    """``phrases`` with ``related``: an entity of one word that occurs in a keyphrase of its segment, as it is or in lower case.
 
-    Needs ``kind`` (keyphrase or entity), ``preference`` and ``score``.
+    One-word entities inside a longer entity of the segment are left out; longer ones that repeat a word are ``removed``.
+    Needs ``segment``, ``kind``, ``phrase``, ``row_id``, ``removed``.
     """
-    w = Window.partitionBy(session, "kind")
-    mean, n = F.avg("score").over(w), F.count(F.lit(1)).over(w)
-    low = F.col("score") <= mean
-    entity = F.col("preference").isin(3, 4) & (n >= 2) & low
-    return phrases.withColumn("removed", F.coalesce(F.when(F.col("kind") == "keyphrase", low).otherwise(entity), F.lit(False)))
+    words = F.filter(F.split("phrase", r"\s+"), lambda w: w != "")
+    p = phrases.withColumns({"_k": F.size(words), "_twice": F.size(F.array_distinct(words)) < F.size(words)})
+    single = p.where("kind = 'entity' and _k = 1").select("segment", "row_id", F.col("phrase").alias("_e"))
+    held = p.where("kind = 'entity' and _k > 1").select("segment", F.col("phrase").alias("_o"))
+    inside = single.join(held, "segment").where(F.position(F.col("_e"), F.col("_o")) > 0).select("row_id").distinct()
+    keys = p.where("kind = 'keyphrase'").select("segment", F.col("phrase").alias("_o"))
+    near = single.join(keys, "segment").where((F.position(F.col("_e"), F.col("_o")) > 0) | (F.position(F.lower("_e"), F.col("_o")) > 0)).select("row_id", F.lit(True).alias("_r")).distinct()
+    entities = p.where("kind = 'entity'").join(inside, "row_id", "left_anti").join(near, "row_id", "left")
+    entities = entities.withColumns({"related": F.coalesce("_r", F.lit(False)), "removed": F.col("removed") | ((F.col("_k") > 1) & F.col("_twice"))}).drop("_r")
+    return p.where("kind = 'keyphrase'").withColumn("related", F.lit(False)).unionByName(entities).drop("_k", "_twice")
 
 
 def quota_slice(phrases: DataFrame, session: str, limit: int = 10, entities: int = 5) -> DataFrame:
-    """At most ``entities`` entities; keyphrases fill up to ``limit``. Needs ``kind``, ``score``, ``phrase``, ``removed``."""
-    w = Window.partitionBy(session, "kind").orderBy(F.desc("score"), "phrase")
-    ranked = phrases.where("not removed").withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
-    n = F.sum(F.when(F.col("kind") == "entity", 1).otherwise(0)).over(Window.partitionBy(session))
+    """At most ``entities`` entities; keyphrases fill up to ``limit``. Needs ``kind``, ``score``, ``phrase``, ``removed``.
+
+    Entities ``related`` to a keyphrase (where that column is there) do not count. Ties by phrase, then ``row_id`` where there is one.
+    """
+    kept = phrases.where("not removed")
+    if "related" in phrases.columns:
+        kept = kept.where("kind <> 'entity' or not related")
+    w = Window.partitionBy(session, "kind").orderBy(F.desc_nulls_last("score"), "phrase", *[c for c in ("row_id",) if c in phrases.columns])
+    ranked = kept.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
+    n = F.sum(F.when(F.col("kind") == "entity", 1).otherwise(0)).over(Window.partitionBy(session))  # at most 2 * limit rows a session
     cutoff = F.when(F.col("kind") == "entity", entities).otherwise(limit - F.least(F.lit(entities), n))
-    return ranked.where("rank <= 10").withColumn("_c", cutoff).where("rank <= _c").drop("_c")
+    return ranked.withColumn("_c", cutoff).where("rank <= _c").drop("_c")
+
+
+def merged_phrases(sliced: DataFrame) -> DataFrame:
+    """(``session``, ``phrase``, ``loc``, ``rank``): a session's phrases in the order of ``loc``; of one name keyphrases win over entities, later ranks over earlier."""
+    one = last_wins(sliced.withColumn("_k", (F.col("kind") == "keyphrase").cast("int")), ["session", "phrase"], "loc", ["_k", "rank", "row_id"])
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.asc_nulls_last("loc"), "phrase")).cast("bigint"))
 
 
 def last_wins(phrases: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
@@ -59,13 +148,51 @@ def phrase_offsets(phrases: DataFrame, segments: DataFrame, session: str) -> Dat
     return hit.groupBy(session, "phrase").agg(F.max_by("offset", F.struct("segment_no")).alias("offset"))
 
 
-def vocabulary_filter(phrases: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Phrases all of whose lower-case words are in ``vocabulary`` (``word``)."""
-    each = phrases.select(key, F.explode(F.array_distinct(F.split(F.lower("phrase"), " "))).alias("word"))
-    missing = each.join(vocabulary.select("word").distinct(), "word", "left_anti").select(key).distinct()
+def vocabulary_filter(phrases: DataFrame, vocabulary: DataFrame, key: str, by: list[str] = (), words: Column | None = None) -> DataFrame:
+    """Phrases all of whose lower-case words are in ``vocabulary`` (``word``, and ``by``: a mind, say).
+
+    ``words`` tells which of a phrase's words count (an array), by default all of them; without any the phrase stays.
+    """
+    own = F.array_distinct(F.split(F.lower("phrase"), " ")) if words is None else words
+    each = phrases.select(key, *by, F.explode(own).alias("word"))
+    missing = each.join(vocabulary.select(*by, "word").distinct(), [*by, "word"], "left_anti").select(key).distinct()
     return phrases.join(missing, key, "left_anti")
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """0..100: the shorter text against its best stretch of the longer one."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    m = difflib.SequenceMatcher(None, short, long, autojunk=False)
+    starts = {max(0, j - i) for i, j, n in m.get_matching_blocks() if n}
+    return max((100 * difflib.SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts), default=0.0)
+
+
+def partial_token_set_ratio(a: str, b: str) -> float:
+    """0..100: :func:`partial_ratio` of what the two have in common with each side's own words; 100 if they share a word."""
+    x, y = set(a.lower().split()), set(b.lower().split())
+    if x & y:
+        return 100.0
+    return partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+
+
+def best_matches(query: Column, phrases: Column, limit: int = 20, least: float = 30.0) -> Column:
+    """ARRAY<STRUCT<phrase, score>>: the ``limit`` phrases most like ``query`` with at least ``least``, best first, ties by phrase.
+
+    ``phrases`` is a short list. Null texts and arrays give none.
+    """
+
+    def run(queries: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for q, items in zip(queries, lists, strict=True):
+            scored = [(-partial_token_set_ratio(q, p), p) for p in dict.fromkeys(items if items is not None else []) if p] if q else []
+            out.append([{"phrase": p, "score": -s} for s, p in sorted(scored)[:limit] if -s >= least])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<struct<phrase:string,score:double>>")(query, phrases)
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """0..100: best match of the shared words against each side with its own words."""
     x, y = set(a.lower().split()), set(b.lower().split())

@@ -51,28 +51,11 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).unionByName(_scored(spark, d, "entities", "ent_id"))
 
 
-_Q = f"select session, segment, avg(boosted) quality_mean, quantile_cont(boosted, 0.5) quality_median, count(*) phrases from ({_K}) group by 1, 2"
-
-
-@query(f"select session, segment, round(quality_mean, 9) quality_mean, round(quality_median, 9) quality_median, phrases from ({_Q})")
-def local_relevance(spark: SparkSession, d: str) -> DataFrame:
-    q = ranking.segment_quality(_scored(spark, d), ["session", "segment"], F.col("boosted"))
-    return q.select("session", "segment", F.round("quality_mean", 9).alias("quality_mean"), F.round("quality_median", 9).alias("quality_median"), "phrases")
-
-
 @query("select kp_id, score.pagerank + score.segsim boosted from keyphrases where score is not null")
 def boosted_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "keyphrases").where("score is not null").select("kp_id", (F.col("score.pagerank") + F.col("score.segsim")).alias("boosted"))
 
 
-@query(f"with q as ({_Q}), t as (select session, sum(quality_median) total from q group by 1) select row_id, round(boosted * quality_median * 2 / nullif(total, 0), 9) norm_boosted from ({_K}) k join q using (session, segment) join t using (session)")
-def norm_boosted_rank(spark: SparkSession, d: str) -> DataFrame:
-    """With two sentences per segment."""
-    k = _scored(spark, d)
-    q = ranking.segment_quality(k, ["session", "segment"], F.col("boosted"))
-    return ranking.norm_boosted(k, q, "session", "segment", "quality_median", F.lit(2)).select("row_id", F.round("norm_boosted", 9).alias("norm_boosted"))
-
-
 @query('select session, total, top_n, case when top_n in (5, 10) then top_n else least(greatest(top_n, total // 3), 10) end n from (select instanceId session, count(*) total from keyphrases group by 1) k join (select lower(instanceId) i, coalesce(max("limit"), 10) top_n from requests group by 1) r on r.i = session')
 def prepare_output(spark: SparkSession, d: str) -> DataFrame:
     """Dynamic number of phrases per session."""
@@ -81,26 +64,6 @@ def prepare_output(spark: SparkSession, d: str) -> DataFrame:
     return k.join(r, "session").withColumn("n", ranking.dynamic_top_n(F.col("total"), F.col("top_n")).cast("bigint"))
 
 
-_T = f"select row_id, kind, session, phrase, boosted, coalesce(case when kind = 'keyphrase' then boosted <= m else preference in (3, 4) and n >= 2 and boosted <= m end, false) removed from (select *, avg(boosted) over w m, count(*) over w n from {_B} b window w as (partition by session, kind))"
-
-
-@query(f"select row_id, kind, removed from ({_T})")
-def limit_phrase_list(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.threshold_phrases(_both(spark, d).withColumn("score", F.col("boosted")), "session").select("row_id", "kind", "removed")
-
-
-_SL = """select session, kind, row_id, rank from (select *, sum(case when kind = 'entity' then 1 else 0 end) over (partition by session) ne from (
- select *, row_number() over (partition by session, kind order by boosted desc, encode(phrase), row_id) rank from ({0}) where not removed) where rank <= 10) where rank <= case when kind = 'entity' then 5 else 10 - least(5, ne) end"""
-
-
-@query(_SL.format(_T))
-def slice_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """At most five entities, keyphrases up to ten in all; ties by phrase, then row."""
-    b = ranking.threshold_phrases(_both(spark, d).withColumn("score", F.col("boosted")), "session")
-    keyed = b.withColumn("phrase", F.concat("phrase", F.lit("\x00"), F.lpad(F.col("row_id").cast("string"), 20, "0")))
-    return ranking.quota_slice(keyed, "session").select("session", "kind", "row_id", "rank")
-
-
 @query("select ent_id, preference from entities order by preference, ent_id")
 def sort_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").select("ent_id", "preference").orderBy("preference", "ent_id")
@@ -133,17 +96,6 @@ def offset_map(spark: SparkSession, d: str) -> DataFrame:
     return ranking.phrase_offsets(k, s, "session")
 
 
-@query("""
-with v as (select distinct unnest(string_split(lower(originalForm), ' ')) w from keyphrases where type = 'descriptive'),
-k as (select kp_id, unnest(string_split(lower(originalForm), ' ')) w from keyphrases)
-select kp_id from keyphrases where kp_id not in (select kp_id from k where w not in (select w from v))""")
-def graph_filter_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    """Keyphrases all of whose words occur in descriptive ones."""
-    k = table(spark, d, "keyphrases").select("kp_id", F.col("originalForm").alias("phrase"), "type")
-    v = k.where("type = 'descriptive'").select(F.explode(F.split(F.lower("phrase"), " ")).alias("word"))
-    return ranking.vocabulary_filter(k, v, "kp_id").select("kp_id")
-
-
 @query("select kp_id from keyphrases where len(string_split(originalForm, ' ')) > 1 and not to_remove")
 def post_process_output(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "keyphrases").where("size(split(originalForm, ' ')) > 1 and not to_remove").select("kp_id")
@@ -394,9 +346,9 @@ def lsh_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return recommend.percentile_cutoff(recommend.normalise_scores(_user_scores(spark, d), "v1"), "norm").select("user")
 
 
-@query(f"select \"user\" from ({_NS}) where (select max(norm) from ({_NS})) >= 0.3")
+@query(f"select \"user\" from ({_NS}) where (select max(norm) from ({_NS})) >= 0.55")
 def relevancy_gate(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.relevancy_gate(recommend.normalise_scores(_user_scores(spark, d), "v1"), least=0.3).select("user")
+    return recommend.relevancy_gate(recommend.normalise_scores(_user_scores(spark, d), "v1"), least=0.55).select("user")
 
 
 @query(f"select \"user\" from ({_US}) where \"user\" not in (select label from embeddings where vec_id < 3)")
