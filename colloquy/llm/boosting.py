@@ -57,6 +57,15 @@ class Booster:
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return self.bias + sum((_apply(t, x) for t in self.trees), np.zeros(len(x)))
 
+    def one(self, x: list[float]) -> float:
+        """The log odds of one row, without arrays."""
+        out = self.bias
+        for n in self.trees:
+            while n.feature >= 0:
+                n = n.left if x[n.feature] < n.threshold else n.right
+            out += n.value
+        return out
+
     def column(self, features: list[Column]) -> Column:
         """The log odds as one expression over ``features`` (doubles without nulls)."""
 

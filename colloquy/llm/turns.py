@@ -81,7 +81,7 @@ class Speech(dict):
     def is_hesitation(self, token: str) -> bool:
         """Token-level filler decision."""
         x = token_features(token)
-        return x[1] > 0 and float(self.fillers.log_odds(np.array([x]))[0]) > 0
+        return x[1] > 0 and self.fillers.one(x) > 0
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
