@@ -15,6 +15,16 @@ def projections(tables: int, bits: int, dim: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
+def hashed_projections(tables: int, bits: int, dim: int) -> np.ndarray:
+    """Projections with entries in [-1, 1) by integer arithmetic on their number, (tables, bits, dim): the same in any language.
+
+    Entry ``x`` (from 1) is the middle of the square of a multiplicative hash of ``x``.
+    """
+    x = np.arange(1, tables * bits * dim + 1, dtype=np.int64)
+    h = x * 2654435761 % (1 << 31)
+    return ((h * h // 65536 + x * 40503) % 65536 / 32768 - 1).reshape(tables, bits, dim)
+
+
 def lsh_buckets(vectors: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
     """(``key``, ``buckets`` ARRAY<BIGINT>): per table the integer whose bit i is 1 where projection i has a positive dot product."""
     tables, bits, dim = planes.shape

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.ids import dashed
+from colloquy.functions.tagging import CLOSED
 from colloquy.functions.text import STOP_WORDS
 from colloquy.operators import etl, graph, wordgraph
-from colloquy.runtime import table
+from colloquy.runtime import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -100,21 +101,37 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
     return wordgraph.keyword_tokens(_segments(spark, d), dashed(F.col("instanceId")), F.col("seg_row_id"), F.col("originalText"))
 
 
-_MARKED = f"select t.graph, t.text_id, t.pos, t.word, cast(g.degree as double) score from ({_TOKENS}) t left join (select * from ({_DEG}) where degree >= 10) g on g.graph = t.graph and g.word = t.word"
+def _words_sql(*tags: str) -> str:
+    return "[" + ", ".join("'" + w + "'" for t in tags for w in CLOSED[t].split()) + "]"
 
 
-@query(f"select text_id, pos, word, case when score is null then 'e' else 'k' end tag from ({_MARKED})")
+# The default tagger as a rule in SQL: which words are nodes of the graph (syn), which of them plural nouns (nns).
+_SUFFIXED = " or ".join(f"(low like '%{x}' and len(low) > {len(x) + 2})" for x in ("ous", "ful", "able", "ive", "al", "ic"))
+_NO_NODE = " or ".join(f"(low like '%{x}' and len(low) > {len(x) + 2})" for x in ("ly", "ing", "ed"))
+_PLAIN = "not list_contains(" + _words_sql(*CLOSED) + ", low) and not regexp_full_match(tok, '[\\d.,:]+') and regexp_matches(tok, '[\\p{L}\\p{N}_]')"
+_SING = "(case when len({0}) < 4 or regexp_matches({0}, '(?:ss|us|is)$') then {0} when {0} like '%ies' then {0}[:-4] || 'y' when regexp_matches({0}, '(?:sses|xes|ches|shes)$') then {0}[:-3] when {0} like '%s' then {0}[:-2] else {0} end)".format
+_MARKED = f"""with tk as (select seg_row_id text_id, graph, unnest(range(len(l))) pos, unnest(l) tok from (select seg_row_id, {_ID('instanceId')} graph, regexp_extract_all(originalText, '[\\p{{L}}\\p{{N}}_]+(?:[''-][\\p{{L}}\\p{{N}}_]+)*|[^\\p{{L}}\\p{{N}}_\\s]') l from segment_requests where originalText is not null)),
+tg as (select *, list_contains({_words_sql("VB")}, low) or ({_PLAIN} and not ({_NO_NODE})) syn, {_PLAIN} and not ({_NO_NODE} or {_SUFFIXED}) and not regexp_matches(tok, '^\\p{{Lu}}') and low like '%s' and low not like '%ss' and len(low) > 3 nns from (select *, lower(tok) low from tk)),
+ns as (select distinct graph, case when nns then {_SING('low')} else low end node from tg where syn and not list_contains({_STOP}, low)),
+pl as (select distinct text_id, low from tg where nns),
+mk as (select tg.text_id, tg.pos, tg.low word, tg.graph, case when pl.low is not null then 'p' when a.node is not null then 'k' else 'e' end tag, coalesce(pl.low is not null or (a.node is not null and not list_contains({_STOP}, tg.low)), false) marked
+  from tg left join pl on pl.text_id = tg.text_id and pl.low = tg.low left join ns a on a.graph is not distinct from tg.graph and a.node = tg.low left join ns b on b.graph is not distinct from tg.graph and b.node = {_SING('tg.low')}
+  where pl.low is null or b.node is not null) """
+
+
+@query(_MARKED + "select text_id, pos, word, tag from mk")
 def tag_keywords(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("text_id", "pos", "word", "tag")
 
 
-_RUNS = f"""select text_id, string_agg(word, ' ' order by pos) phrase, sum(score) score, min(pos) "start", any_value(graph) graph from (
-  select *, sum(case when score is null then 1 else 0 end) over (partition by text_id order by pos) i, max(pos) over (partition by text_id) last from ({_MARKED})) where score is not null group by text_id, i having max(pos) < max(last)"""
+_RUNS = f"""{_MARKED}, rn as (select text_id, string_agg(word, ' ' order by pos) phrase, min(pos) "start", any_value(graph) graph from (
+  select *, sum(case when marked then 0 else 1 end) over (partition by text_id order by pos) i, max(pos) over (partition by text_id) last from mk) where marked group by text_id, i having max(pos) < max(last)) """
 
 
-@query(f'select text_id, phrase, score, "start" from ({_RUNS})')
+@query(_RUNS + 'select text_id, phrase, "start" from rn')
 def multi_keyterms(spark: SparkSession, d: str) -> DataFrame:
-    return wordgraph.keyword_runs(_marked(spark, d)).select("text_id", "phrase", "score", "start")
+    """Runs of keywords; their scores are :func:`term_scores`."""
+    return wordgraph.keyword_runs(_marked(spark, d)).select("text_id", "phrase", "start")
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -126,29 +143,24 @@ def _run_phrases(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("graph", "phrase").distinct()
 
 
-_PH = f"select distinct graph, phrase from ({_RUNS})"
-_SCORED = f"""select graph, phrase, sum(coalesce(degree, 0)) / (case when count(*) > 3 then count(*) else 1 end) score_sum, max(coalesce(degree, 0)) / (case when count(*) > 3 then count(*) else 1 end) score_max
-from (select p.graph, phrase, cast(degree as double) degree from (select graph, phrase, unnest(string_split(phrase, ' ')) word from ({_PH})) p left join ({_DEG}) g on g.graph = p.graph and g.word = p.word) group by 1, 2"""
-
-
-@query(_SCORED)
+@query()
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
     """Sum and maximum of the words' degree-normalised PageRank per phrase."""
     return wordgraph.run_scores(_runs(spark, d))
 
 
-_CLEAN = f"""with p as materialized (select * from ({_PH}) where len(list_distinct(string_split(phrase, ' '))) = len(string_split(phrase, ' ')) and len(list_filter(string_split(phrase, ' '), lambda t: len(t) < 2)) = 0)
-select graph, phrase from p where not exists (select 1 from p o where o.graph = p.graph and o.phrase <> p.phrase and contains(' ' || o.phrase || ' ', ' ' || p.phrase || ' '))"""
-
-
-@query(_CLEAN)
+@query(_RUNS + """, p as materialized (select distinct graph, phrase from rn where len(list_distinct(string_split(phrase, ' '))) = len(string_split(phrase, ' ')) and len(list_filter(string_split(phrase, ' '), lambda t: len(t) < 2)) = 0)
+select graph, phrase from p where not exists (select 1 from p o where o.graph is not distinct from p.graph and o.phrase <> p.phrase and contains(' ' || o.phrase || ' ', ' ' || p.phrase || ' '))""")
 def post_process_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return wordgraph.clean_phrases(_run_phrases(spark, d))
+    return wordgraph.clean_phrases(cut(_run_phrases(spark, d)))
 
 
-@query(f"select graph, phrase, score_sum score, rank from (select *, row_number() over (partition by graph order by score_sum desc, encode(phrase) desc) rank from ({_SCORED})) where rank <= 10")
+@query()
 def get_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    return wordgraph.top_phrases(term_scores(spark, d).withColumnRenamed("score_sum", "score")).select("graph", "phrase", "score", "rank")
+    """The ten best of each session's phrases, cleaned."""
+    scored = cut(term_scores(spark, d))
+    kept = wordgraph.clean_phrases(scored.select("graph", "phrase"))
+    return wordgraph.top_phrases(scored.join(kept, ["graph", "phrase"], "left_semi").withColumnRenamed("score_sum", "score")).select("graph", "phrase", "score", "rank")
 
 
 # Property graph

@@ -177,7 +177,10 @@ def next_segment_graph(spark: SparkSession, d: str) -> DataFrame:
     return topics.next_segment_pairs(_sentence_vectors(spark, d), "session").withColumn("w", F.round("w", 9))
 
 
-_FS = f"with p as ({_NP}), b as (select session, i a, j b, w from p union all select session, j, i, w from p), n as (select session, a, b, (w - min(w) over v) / nullif(max(w) over v - min(w) over v, 0) n from b window v as (partition by session, a)) select session, least(a, b) i, greatest(a, b) j, round(avg(n), 9) w from n group by 1, 2, 3"
+_FS = f"""with p as (select a.session, a.sentence i, b.sentence j, {_COS('a.vec', 'b.vec')} w from ({_SV}) a join ({_SV}) b on a.session = b.session),
+x as (select session, i, j, case when i = j then avg(case when i = j then 1 else w end) over (partition by session, i) else w end x from p),
+n as (select *, (x - min(x) over v) / nullif(max(x) over v - min(x) over v, 0) n from x window v as (partition by session, i))
+select a.session, a.i, a.j, round(case when a.i = a.j then 1 else (a.n + b.n) / 2 end, 9) + 0.0 w from n a join n b on a.session = b.session and a.i = b.j and a.j = b.i where a.i <= a.j"""
 
 
 @query(_FS)
@@ -278,24 +281,25 @@ def get_topics(spark: SparkSession, d: str) -> DataFrame:
 
 # Recommendation: users are labels, their vectors the embeddings; every 100th vector is a query.
 
-_PLANES = recommend.projections(TABLES, BITS, DIM)
 #: The index that is searched: the reference's 500 tables. Its adaptive hash size (16 bits for 500 to 2,000 vectors) would find
 #: 15 % of the ten nearest of sf0.1; 10 bits find 99 %.
 INDEX_TABLES, INDEX_BITS = 500, 10
-_INDEX = recommend.projections(INDEX_TABLES, INDEX_BITS, DIM)
+_PLANES = recommend.hashed_projections(TABLES, BITS, DIM)
+_INDEX = recommend.hashed_projections(INDEX_TABLES, INDEX_BITS, DIM)
 
 
 def _buckets(spark: SparkSession, d: str) -> DataFrame:
     return recommend.lsh_buckets(_vectors(spark, d), "vec_id", _PLANES)
 
 
-def _bucket_sql() -> str:
-    flat = ", ".join("[" + ", ".join(repr(float(x)) for x in p) + "]" for p in _PLANES.reshape(-1, DIM))
-    return f"select vec_id, t, cast(sum(case when list_dot_product(vec, p) > 0 then 1 << b else 0 end) as bigint) bucket from ({_V}), (select i // {BITS} t, i % {BITS} b, p from (select unnest(range({TABLES * BITS})) i, unnest([{flat}]) p)) group by 1, 2"
+def _bucket_sql(tables: int, bits: int) -> str:
+    entry = "((h * h // 65536 + x * 40503) % 65536) / 32768 - 1"
+    planes = f"select (x - 1) // {DIM} i, list({entry} order by x) p from (select x, x * 2654435761 % 2147483648 h from (select unnest(range(1, {tables * bits * DIM + 1})) x)) group by 1"
+    return f"select vec_id, i // {bits} t, cast(sum(case when list_dot_product(vec, p) > 0 then 1 << (i % {bits}) else 0 end) as bigint) bucket from ({_V}), ({planes}) group by 1, 2"
 
 
-_BK = _bucket_sql()
-_MT = f"with b as materialized ({_BK}) select q.vec_id query, e.label as user, count(*) matches from b q join b i on q.t = i.t and q.bucket = i.bucket join embeddings e on e.vec_id = i.vec_id where q.vec_id % 100 = 0 group by 1, 2"
+_BK = _bucket_sql(TABLES, BITS)
+_MT = f"with b as materialized ({_bucket_sql(INDEX_TABLES, INDEX_BITS)}) select q.vec_id query, e.label as user, count(*) matches from b q join b i on q.t = i.t and q.bucket = i.bucket join embeddings e on e.vec_id = i.vec_id where q.vec_id % 100 = 0 group by 1, 2"
 
 
 @query(f"select vec_id, array_to_string(list(bucket order by t), ',') buckets from ({_BK}) group by 1")
@@ -357,10 +361,10 @@ def exclude_participants(spark: SparkSession, d: str) -> DataFrame:
     return _user_scores(spark, d).join(_vectors(spark, d).where("vec_id < 3").select(F.col("label").alias("user")), "user", "left_anti").select("user")
 
 
-_RR = f"select a.label as user, a.vec_id item, {_COS('a.vec', 'q.vec')} s from ({_V}) a, (select vec from ({_V}) order by vec_id limit 1) q"
+_RR = f"select q.vec_id query, a.label as user, a.vec_id item, {_COS('a.vec', 'q.vec')} s from ({_V}) a join ({_V}) q on q.vec_id % 100 = 0"
 
 
-@query(f"select \"user\", round(avg(s), 9) phrase_score, array_to_string(list(item order by r), ',') phrases from (select *, row_number() over (partition by \"user\" order by s desc, item) r from ({_RR})) where r <= 10 group by 1")
+@query(f"select query, \"user\", round(avg(s), 9) phrase_score, array_to_string(list(item order by r), ',') phrases from (select *, row_number() over (partition by query, \"user\" order by s desc, item) r from ({_RR})) where r <= 10 group by 1, 2")
 def rerank_users(spark: SparkSession, d: str) -> DataFrame:
     """Ten items of each user nearest to every vector with an id divisible by 100."""
     v = _vectors(spark, d)
