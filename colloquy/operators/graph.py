@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.ids import dashed
+from colloquy.runtime import broadcast_if_small
 
 
 def phrase_key(text: Column) -> Column:
@@ -54,11 +55,22 @@ def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*by, "_r.*")
 
 
-def grouped_with(edges: DataFrame, relation: str) -> DataFrame:
-    """(``user``, ``other``, ``groups``): pairs that share an endpoint of ``relation``, with the number of shared endpoints."""
-    a = edges.where(F.col("relation") == relation)
-    one, two = a.select(F.col("dst").alias("user"), "src"), a.select(F.col("dst").alias("other"), "src")
-    return one.join(two, "src").where("user <> other").groupBy("user", "other").agg(F.count(F.lit(1)).alias("groups"))
+def grouped_with(edges: DataFrame, relation: str, chunk: int = 64) -> DataFrame:
+    """(``user``, ``other``, ``groups``): pairs that share an endpoint of ``relation``, with the number of shared endpoints.
+
+    Members of a large group are dealt by hash into chunks of about ``chunk``, and each pair of chunks is work of its own:
+    no task holds a group. A pair is counted once, on the map side first, and given out in both directions.
+    """
+    a = edges.where(F.col("relation") == relation).select("src", F.col("dst").alias("user")).where("src is not null and user is not null").distinct()
+    large = a.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_n")).where("_n > 1")
+    placed = a.join(broadcast_if_small(large), "src", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    parts = placed.groupBy("src", "_n", F.pmod(F.xxhash64("user"), F.col("_n")).cast("int").alias("_p")).agg(F.collect_list("user").alias("_x"))
+    left = parts.select("src", "_p", "_x", F.explode(F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda q: q >= F.col("_p"))).alias("_q"))
+    met = left.join(parts.select("src", F.col("_p").alias("_q"), F.col("_x").alias("_y")), ["src", "_q"])
+    one = lambda v: F.transform(F.filter("_y", lambda w: (F.col("_p") < F.col("_q")) | (w > v)), lambda w: F.struct(F.least(v, w).alias("a"), F.greatest(v, w).alias("b")))
+    pairs = met.select(F.inline(F.flatten(F.transform("_x", one)))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups"))
+    both = F.array(F.struct(F.col("a").alias("user"), F.col("b").alias("other")), F.struct(F.col("b").alias("user"), F.col("a").alias("other")))
+    return pairs.select(F.inline(both), "groups").select("user", "other", "groups")
 
 
 def any_of_terms(text: Column, terms: list[str]) -> Column:
@@ -73,6 +85,45 @@ def expand(parents: DataFrame, edges: DataFrame, relation: str, child: str, casc
     return parents.join(e, "xid", "inner" if cascade else "left")
 
 
+def root_eq(vertices: DataFrame, column: str, value) -> DataFrame:
+    """``func: eq(column, value)``: the vertices to start from."""
+    return vertices.where(F.col(column) == F.lit(value))
+
+
+def by_uid(rows: DataFrame, uids: DataFrame, column: str = "xid") -> DataFrame:
+    """``@filter(uid(...))``: rows whose ``column`` is among the ``xid`` of ``uids``."""
+    return rows.join(uids.select(F.col("xid").alias(column)).distinct(), column, "left_semi")
+
+
+def normalize(parents: DataFrame, edges: DataFrame, path: list[tuple[str, str]], root: str) -> DataFrame:
+    """``@normalize @cascade``: the flat rows of all walks along ``path`` [(relation, alias)...] from ``xid``, named ``root``.
+
+    A relation that begins with ``~`` is followed backwards. Walks that end early are left out.
+    """
+    rows = parents.select(F.col("xid").alias(root), "xid")
+    for relation, alias in path:
+        rows = expand(rows, edges, relation.lstrip("~"), alias, cascade=True, reverse=relation.startswith("~")).withColumn("xid", F.col(alias))
+    return rows.select(root, *[alias for _, alias in path]).distinct()
+
+
+def run_query(text: str, tables: dict[str, DataFrame], **args) -> DataFrame:
+    """A read-only query over ``tables`` (as ``{name}`` in the text) with named parameters (``:name``)."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(text, args=args, **tables)
+
+
+def summary_edges(segments: DataFrame) -> DataFrame:
+    """(``src``, ``relation``, ``dst``) of summary groups: segment belongsTo group, group hasUser user, user groupedWith user.
+
+    ``segments`` is (``segment``, ``group``, ``user``).
+    """
+    s = segments.where("group is not null")
+    plain = s.select(F.inline(F.array(F.struct(F.col("segment").alias("src"), F.lit("belongsTo").alias("relation"), F.col("group").alias("dst")), F.struct(F.col("group").alias("src"), F.lit("hasUser").alias("relation"), F.col("user").alias("dst")))))
+    plain = plain.where("src is not null and dst is not null").distinct()
+    pairs = grouped_with(plain, "hasUser").select(F.col("user").alias("src"), F.lit("groupedWith").alias("relation"), F.col("other").alias("dst"))
+    return plain.unionByName(pairs)
+
+
 def first_per_parent(df: DataFrame, parent: str, n: int, order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(parent).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.ids import dashed
+from colloquy.functions.tagging import all_tags_allowed
+from colloquy.operators.ranking import best_matches, fuzzy_dedupe
+
 
 def projections(tables: int, bits: int, dim: int, seed: int = 7) -> np.ndarray:
     """Seeded Gaussian projections, (tables, bits, dim)."""
@@ -135,3 +139,68 @@ def high_deviation(df: DataFrame, score: str, limit: float) -> DataFrame:
 def user_profiles(rows: DataFrame, user: str, columns: list[str]) -> DataFrame:
     """(``user``, sorted distinct values of each column); nulls do not count."""
     return rows.groupBy(user).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+
+
+def profile_rows(rows: DataFrame, user: str, columns: dict[str, Column], blacklist: DataFrame | None = None) -> DataFrame:
+    """(``user``, ``kind``, ``value``): each distinct value of ``columns`` (name -> text, or array of texts) of each user, one row each.
+
+    Users in ``blacklist`` (``user``) are left out; nulls do not count. A profile is rows, not a list, however long it is.
+    """
+    each = [F.transform(F.array(c), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in columns.items()]
+    out = rows.where(F.col(user).isNotNull()).select(F.col(user).alias("user"), F.inline(F.concat(*each))).where("value is not null").distinct()
+    return out if blacklist is None else out.join(blacklist.select("user").distinct(), "user", "left_anti")
+
+
+def participants(attendees: Column) -> Column:
+    """ARRAY<STRING>: the attendees' dashed ids from the reply's JSON; null or another text gives none."""
+    ids = F.from_json(attendees, "struct<attendees:array<struct<sourceUserId:string>>>")["attendees"]["sourceUserId"]
+    return F.coalesce(F.array_compact(F.transform(ids, dashed)), F.array().cast("array<string>"))
+
+
+def confidence(similar: DataFrame, hashed: DataFrame, by: str) -> DataFrame:
+    """``similar`` (``by``, ``similarity``) with ``hash_score`` and ``confidence``, their product; a missing hash score is the least of all.
+
+    ``hashed`` is (``by``, ``hash_score``).
+    """
+    least = hashed.agg(F.min("hash_score").alias("_least"))
+    joined = similar.join(hashed.select(by, "hash_score"), by, "left").join(F.broadcast(least))  # one row
+    return joined.withColumn("hash_score", F.coalesce("hash_score", "_least")).withColumn("confidence", F.col("similarity") * F.col("hash_score")).drop("_least")
+
+
+def suggested_users(users: DataFrame, score: str, speakers: DataFrame, q: float = 0.75) -> DataFrame:
+    """``users`` (``user``, ``score``) who are not among the ``speakers`` (``user``), with ``suggested``: a score of at least the ``q`` quantile of these."""
+    left = users.join(speakers.select("user").distinct(), "user", "left_anti")
+    cut_at = left.agg(F.percentile(score, F.lit(q)).alias("_c"))
+    return left.join(F.broadcast(cut_at)).withColumn("suggested", F.coalesce(F.col(score) >= F.col("_c"), F.lit(False))).drop("_c")  # one row
+
+
+def related_words(top_words: DataFrame, query_text: Column, tags: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """(``user``, ``words``): of each user's ``phrases`` (a top-n list) those most like ``query_text``, with their likeness.
+
+    With ``tags`` only phrases all of whose tokens have one of them are compared, alike ones once.
+    """
+    rows = top_words.select("user", F.col("phrases").alias("p"), query_text.alias("q"))
+    if tags is not None:
+        kept = rows.withColumn("p", all_tags_allowed(F.col("p"), tags))
+        rows = fuzzy_dedupe(kept, "user", "p").join(kept.select("user", "q"), "user")
+    return rows.select("user", best_matches(F.col("q"), F.col("p"), limit).alias("words"))
+
+
+def explanation(top_words: DataFrame, users: DataFrame, query_text: Column, tags: list[str] | None = None) -> DataFrame:
+    """(``user``, ``confidence``, ``words``, ``rank``): ranked users with the phrases that explain them."""
+    words = related_words(top_words, query_text, tags)
+    ranked = users.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "user")).cast("bigint"))
+    return ranked.join(words, "user", "left").select("user", "confidence", "words", "rank")
+
+
+def watchers(users: DataFrame, speakers: DataFrame, top_words: DataFrame, query_text: Column, tags: list[str] | None = None, least: float | None = None, n_words: int = 6) -> DataFrame:
+    """(``user``, ``confidence``, ``rank``, ``suggested``, ``words``): whom to recommend, end to end.
+
+    ``users`` is (``user``, ``similarity``, ``hash_score``); with ``least`` nobody is recommended unless the best normalised hash score reaches it.
+    ``speakers`` are left out; ``words`` are the ``n_words`` best explaining phrases.
+    """
+    if least is not None:
+        users = relevancy_gate(normalise_scores(users, "hash_score"), least=least).drop("norm")
+    scored = users.withColumn("confidence", F.col("similarity") * F.col("hash_score"))
+    found = suggested_users(explanation(top_words, scored, query_text, tags), "confidence", speakers)
+    return found.select("user", "confidence", "rank", "suggested", F.slice(F.transform("words", lambda w: w["phrase"]), 1, n_words).alias("words"))

@@ -8,19 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import cosine
+from colloquy.runtime import bounded_rows, running
+
+
+#: Most minds that are scored against; more are an error.
+MINDS = 10_000
 
 
 def mind_scores(vectors: DataFrame, minds: DataFrame, key: str) -> DataFrame:
-    """(``key``, ``score``, ``mind``): best cosine of each vector over the ``minds`` (``mind``, ``mind_vec``), a small table.
+    """(``key``, ``score``, ``mind``): best cosine of each vector over the ``minds`` (``mind``, ``mind_vec``), a small table (at most ``MINDS`` rows, else an error).
 
     The minds travel as one array literal column: no row is multiplied.
     """
-    table = minds.agg(F.sort_array(F.collect_list(F.struct(F.col("mind").alias("mind"), F.col("mind_vec").alias("v")))).alias("_minds"))
+    known = bounded_rows(minds.select(F.col("mind").alias("mind"), F.col("mind_vec").alias("v")).orderBy("mind"), MINDS, "minds")
+    kind = vectors.sparkSession.createDataFrame([], minds.select("mind").schema).schema["mind"].dataType.simpleString()
+    table = vectors.sparkSession.createDataFrame([([(r["mind"], r["v"]) for r in known],)], f"_minds array<struct<mind:{kind},v:array<double>>>")
     scored = vectors.join(F.broadcast(table)).withColumn("_s", F.transform("_minds", lambda m: F.struct(cosine(F.col("vec"), m["v"]).alias("s"), (-F.abs(m["mind"].cast("bigint"))).alias("o"), m["mind"].alias("mind"))))
     best = F.array_max(F.filter("_s", lambda x: x["s"].isNotNull()))
     return scored.select(key, best["s"].alias("score"), best["mind"].alias("mind"))
 
 
+def pim_scores(vectors: DataFrame, minds: DataFrame, key: str, nsp, dampening: float = 0.7) -> DataFrame:
+    """(``key``, ``score``): the best over the minds of the mean of cosine and damped next-sentence score.
+
+    ``nsp`` is a function of the mind's column that gives the next-sentence score of the row with that mind.
+    """
+    known = bounded_rows(minds.select("mind", "mind_vec").orderBy("mind"), MINDS, "minds")
+    each = [(cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in r["mind_vec"]])) + nsp(F.lit(r["mind"])) * dampening) / 2 for r in known]
+    best = F.array_max(F.array_compact(F.array(*each))) if each else F.lit(None).cast("double")
+    return vectors.select(key, best.alias("score"))
+
+
 def segment_distance(score: Column, n_words: Column) -> tuple[Column, Column]:
     """(score, distance): a tenth of the score below 40 words; distance = 1 / score."""
     s = F.when(n_words < 40, score * 0.1).otherwise(score)
@@ -206,11 +224,23 @@ def majority_assign(members: DataFrame, session: str) -> DataFrame:
     return best.select(session, "segment", F.col("m.community").alias("community"), F.col("m.n").alias("n"))
 
 
-def time_islands(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``island``: within ``keys``, segments whose ``ord`` follow each other without a gap."""
-    w = Window.partitionBy(*keys).orderBy("ord")
-    breaks = segments.withColumn("_b", F.when(F.col("ord") - F.lag("ord").over(w) <= 1, 0).otherwise(1))
-    return breaks.withColumn("island", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_b")
+def time_islands(segments: DataFrame, keys: list[str], chunk: int = 4096) -> DataFrame:
+    """Adds ``island``: within ``keys``, segments whose ``ord`` follow each other without a gap.
+
+    Ordered in chunks of ``chunk`` positions; see :func:`running`.
+    """
+    rows = segments.withColumn("_chunk", F.floor(F.col("ord") / chunk))
+    seen = running(rows, keys, "_chunk", ["ord"], F.col("ord"), "max", "_before")
+    breaks = seen.withColumn("_b", F.when(F.col("ord") - F.col("_before") <= 1, 0).otherwise(1)).drop("_before")
+    counted = running(breaks, keys, "_chunk", ["ord"], F.col("_b"), "sum", "_n")
+    return counted.withColumn("island", (F.coalesce("_n", F.lit(0)) + F.col("_b")).cast("bigint")).drop("_b", "_n", "_chunk")
+
+
+def compact_order(segments: DataFrame, session: str, order: str, chunk: int = 4096) -> DataFrame:
+    """Adds ``new_ord``: the positions from 0 that a session's rows have among those that are left."""
+    rows = segments.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    counted = running(rows, [session], "_chunk", [order], F.lit(1), "sum", "new_ord")
+    return counted.withColumn("new_ord", F.coalesce("new_ord", F.lit(0)).cast("bigint")).drop("_chunk")
 
 
 def drop_singletons(groups: DataFrame, session: str, size: str = "size") -> DataFrame:
@@ -219,16 +249,16 @@ def drop_singletons(groups: DataFrame, session: str, size: str = "size") -> Data
     return groups.withColumn("_m", F.max(size).over(w)).where((F.col("_m") <= 1) | (F.col(size) > 1)).drop("_m")
 
 
-def merge_contained(groups: DataFrame, session: str) -> DataFrame:
+def merge_contained(groups: DataFrame, session: str, chunk: float = 3_600_000_000) -> DataFrame:
     """(``session``, ``group``, ``into``): each group whose [start, end] lies inside a larger one joins the widest that holds it.
 
     Sorted by (start, end descending, group), a group is contained exactly if the running maximum of the ends before it
     reaches its end; the holder is the group that set that maximum. At least one of the two must have several segments.
-    Chains are resolved by the widest holder, which contains all of them.
+    Chains are resolved by the widest holder, which contains all of them. ``chunk`` is the stretch of starts that one task orders.
     """
-    w = Window.partitionBy(session).orderBy("start", F.desc("end"), "group").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(F.struct(F.col("end"), (-F.col("start").cast("double")).alias("s"), F.col("group").alias("g"), F.col("size").alias("n"))).over(w)
-    held = groups.withColumn("_h", before)
+    holder = F.struct(F.col("end"), (-F.col("start").cast("double")).alias("s"), F.col("group").alias("g"), F.col("size").alias("n"))
+    rows = groups.withColumn("_chunk", F.floor(F.col("start") / chunk))
+    held = running(rows, [session], "_chunk", ["start", F.desc("end"), "group"], holder, "max", "_h")
     inside = F.col("_h").isNotNull() & (F.col("_h.end") >= F.col("end")) & ((F.col("size") > 1) | (F.col("_h.n") > 1))
     return held.select(session, "group", F.when(inside, F.col("_h.g")).otherwise(F.col("group")).alias("into"))
 

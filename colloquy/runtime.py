@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many rows.
@@ -69,6 +69,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running(df: DataFrame, by: list[str], chunk: str, order: list, value: Column, how: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum or maximum (``how``) of ``value`` over all rows of ``by`` before this one; null before the first.
+
+    ``order`` must begin with what ``chunk`` (a column) is monotone in. No task orders more than one chunk of one ``by``;
+    across chunks one row each is ordered.
+    """
+    agg = {"sum": F.sum, "max": F.max}[how]
+    own, ahead, v = fresh("own"), fresh("ahead"), fresh("v")
+    valued = df.withColumn(v, value)
+    before = Window.unboundedPreceding, -1
+    local = valued.withColumn(own, agg(v).over(Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(*before)))
+    chunks = valued.groupBy(*by, chunk).agg(agg(v).alias(v))
+    chunks = chunks.withColumn(ahead, agg(v).over(Window.partitionBy(*by).orderBy(chunk).rowsBetween(*before))).drop(v)
+    joined = local.join(chunks, [*by, chunk])
+    total = F.greatest(own, ahead) if how == "max" else F.when(F.col(own).isNull() & F.col(ahead).isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(ahead, F.lit(0)))
+    return joined.withColumn(name, total).select(*df.columns, name)
+
+
 def fresh(prefix: str) -> str:
     """A column name that cannot clash with a caller's."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
