@@ -23,7 +23,7 @@ PRESENT, NEGATING = ["just", "now"], ["cannot", "not"]
 DROP_FIRST, DROP_VERBS = ["see", "be", "would"], ["tell", "talk", "walk"]
 
 ACTION_STOP = [w for w in STOP_WORDS if w not in NOT_STOP]
-EXPANDED_FIXED = [" ".join(CONTRACTIONS.get(w, w) for w in p.split(" ")) for p in FIXED]
+EXPANDED_FIXED = ["".join(" " + CONTRACTIONS.get(w, w) for w in p.split(" ")) for p in FIXED]  # each begins a word
 
 
 def _has_phrase(t: Column, phrases: list[str]) -> Column:

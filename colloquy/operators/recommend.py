@@ -142,11 +142,12 @@ def user_profiles(rows: DataFrame, user: str, columns: list[str]) -> DataFrame:
 
 
 def profile_rows(rows: DataFrame, user: str, columns: dict[str, Column], blacklist: DataFrame | None = None) -> DataFrame:
-    """(``user``, ``kind``, ``value``): each distinct value of ``columns`` (name -> text, or array of texts) of each user, one row each.
+    """(``user``, ``kind``, ``value``): each distinct value of ``columns`` (name -> array of texts) of each user, one row each.
 
     Users in ``blacklist`` (``user``) are left out; nulls do not count. A profile is rows, not a list, however long it is.
     """
-    each = [F.transform(F.array(c), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in columns.items()]
+    tagged = lambda k, c: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
+    each = [tagged(k, c) for k, c in columns.items()]
     out = rows.where(F.col(user).isNotNull()).select(F.col(user).alias("user"), F.inline(F.concat(*each))).where("value is not null").distinct()
     return out if blacklist is None else out.join(blacklist.select("user").distinct(), "user", "left_anti")
 

@@ -236,6 +236,14 @@ def time_islands(segments: DataFrame, keys: list[str], chunk: int = 4096) -> Dat
     return counted.withColumn("island", (F.coalesce("_n", F.lit(0)) + F.col("_b")).cast("bigint")).drop("_b", "_n", "_chunk")
 
 
+def numbered_sentences(segments: DataFrame, session: str, order: str, sentences: str, chunk: int = 4096) -> DataFrame:
+    """One row per sentence of the array ``sentences``: ``pos`` in its segment, ``idx`` in its session (both from 0), ``sentence``."""
+    rows = segments.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    counted = running(rows, [session], "_chunk", [order], F.size(sentences), "sum", "_before")
+    each = counted.select(session, order, "_before", F.posexplode(sentences).alias("pos", "sentence"))
+    return each.select(session, order, F.col("pos").cast("bigint").alias("pos"), (F.coalesce("_before", F.lit(0)) + F.col("pos")).cast("bigint").alias("idx"), "sentence")
+
+
 def compact_order(segments: DataFrame, session: str, order: str, chunk: int = 4096) -> DataFrame:
     """Adds ``new_ord``: the positions from 0 that a session's rows have among those that are left."""
     rows = segments.withColumn("_chunk", F.floor(F.col(order) / chunk))

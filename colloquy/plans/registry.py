@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import graph_queries, keyphrase_queries, problems, ranking_queries, text_queries
+from colloquy.plans import graph_queries, keyphrase_queries, problems, ranking_queries, service_queries, text_queries
 
-MODULES = [problems, text_queries, graph_queries, ranking_queries, keyphrase_queries]
+MODULES = [problems, text_queries, graph_queries, ranking_queries, keyphrase_queries, service_queries]
 FLAGSHIP = "cooccurrence_top_words"
 
 

@@ -19,15 +19,15 @@ REQUEST = T.StructType([
 ])
 
 
-def decode_requests(df: DataFrame, value: Column) -> DataFrame:
-    """JSON requests (an object or a list of them) as rows; ``highlight`` = not populateGraph; ``raw`` keeps unknown keys.
+def decode_requests(df: DataFrame, value: Column, keep: list[str] = ()) -> DataFrame:
+    """JSON requests (an object or a list of them) as rows; ``highlight`` = not populateGraph; ``raw`` keeps unknown keys, ``keep`` names columns that stay.
 
     A text that is no JSON gives a row of nulls.
     """
     one = F.from_json(value, REQUEST)
     many = F.when(value.rlike(r"^\s*\["), F.from_json(value, T.ArrayType(REQUEST))).otherwise(F.array(one))
-    rows = df.select(F.explode_outer(many).alias("r"), value.alias("raw"))
-    return rows.select("r.*", "raw").withColumn("highlight", ~F.col("populateGraph"))
+    rows = df.select(*keep, F.explode_outer(many).alias("r"), value.alias("raw"))
+    return rows.select(*keep, "r.*", "raw").withColumn("highlight", ~F.col("populateGraph"))
 
 
 def request_segments(requests: DataFrame) -> DataFrame:
@@ -39,6 +39,35 @@ def request_segments(requests: DataFrame) -> DataFrame:
     return s.withColumns({"id": dashed(F.col("id")), "spokenBy": dashed(F.col("spokenBy")), "ord": order.cast("bigint")})
 
 
+def scorer_requests(df: DataFrame, value: Column) -> DataFrame:
+    """(``id``, ``text``, ``speaker``, ``mind``): the segments of JSON scorer requests, ids dashed, the mind in lower case. No JSON, no rows."""
+    r = df.select(F.from_json(value, "mindId string, segments array<struct<id:string,originalText:string,spokenBy:string>>").alias("r")).select(F.lower("r.mindId").alias("mind"), F.inline("r.segments"))
+    return r.select(dashed(F.col("id")).alias("id"), F.col("originalText").alias("text"), dashed(F.col("spokenBy")).alias("speaker"), "mind")
+
+
+def topic_pim_groups(df: DataFrame, value: Column) -> DataFrame:
+    """(``recording``, ``group``) of JSON topic requests: which groups each recording is in."""
+    groups = F.from_json(value, "groups map<string,array<struct<recordingId:string>>>")["groups"]
+    each = df.select(F.explode(groups).alias("group", "members")).select("group", F.explode("members.recordingId").alias("recording"))
+    return each.where("recording is not null").select(dashed(F.col("recording")).alias("recording"), "group").distinct()
+
+
+def topic_pim_distances(df: DataFrame, value: Column) -> DataFrame:
+    """(``recording``, ``distance``) of the segments of JSON topic requests."""
+    segments = F.from_json(value, "pims struct<segments:array<struct<recordingId:string,distance:double>>>")["pims"]["segments"]
+    return df.select(F.inline(segments)).select(dashed(F.col("recordingId")).alias("recording"), "distance")
+
+
+_STORE_TYPES = {"string": "string", "int": "int", "bigint": "long", "double": "double", "boolean": "bool", "timestamp": "date"}
+
+
+def node_columns(rows: DataFrame, xid: str, label: str) -> DataFrame:
+    """A graph store's node columns: ``~id``, ``~label`` and ``name:type`` for every other column, missing values empty."""
+    rest = [f for f in rows.schema.fields if f.name not in (xid, label)]
+    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f"{f.name}:{_STORE_TYPES.get(f.dataType.simpleString(), 'string')}") for f in rest]
+    return rows.select(F.col(xid).alias("~id"), F.coalesce(label, F.lit("node")).alias("~label"), *cells)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return decode_requests(spark.read.text(path, wholetext=True), F.col("value"))
 
