@@ -23,7 +23,7 @@ def one(spark, make, value):
         (text.mask_urls, "see www.x.org/a now", "see __url__ now"),
         (text.mask_urls, "write to me@x.org or see x.de.", "write to me@x.org or see __url__."),
         (text.expand_contractions, "I'd go, he's", "I would go, he is"),
-        (text.remove_stopwords, "cat and hand", "c t   h    d".replace("c t", "cat")),
+        (text.remove_stopwords, "cat and hand", "cat   h "),
         (text.clean_text, "It’s at: x.com/a \n ok 😀", "It's at. __url__ . ok"),
         (lambda t: F.array_join(text.basic_tokenize(t), " "), "Él Niño 東京!", "el nino 東 京 !"),
         (lambda t: F.array_join(text.capitalize_entities(F.array(t)), "|"), "new york OF the www.example.com/a a.b", "New York of the Example.com A.B"),
@@ -179,15 +179,15 @@ def test_lsh_recall_of_the_registered_index(spark):
 
 
 def test_keywords_are_the_nodes_of_the_graph(spark):
-    df = spark.createDataFrame([("g", 1, "The red car and red cars stop."), ("g", 2, "Okay"), ("h", 3, ""), ("h", 4, None)], "g string, i long, t string")
+    df = spark.createDataFrame([("g", 1, "The red car and red cars stop."), ("g", 2, "Tree"), ("h", 3, ""), ("h", 4, None)], "g string, i long, t string")
     rows = wordgraph.keyword_tokens(df, F.col("g"), F.col("i"), F.col("t")).orderBy("text_id", "pos").collect()
     assert [(r["text_id"], r["word"], r["tag"]) for r in rows] == [
-        (1, "the", "e"), (1, "red", "k"), (1, "car", "k"), (1, "and", "e"), (1, "red", "k"), (1, "cars", "p"), (1, "stop", "k"), (1, ".", "e"), (2, "okay", "k"),
+        (1, "the", "e"), (1, "red", "k"), (1, "car", "k"), (1, "and", "e"), (1, "red", "k"), (1, "cars", "p"), (1, "stop", "k"), (1, ".", "e"), (2, "tree", "k"),
     ]
-    # red, car and stop form a triangle; okay stands alone and its mass goes to all: r = 0.85 * (r + o / 4) + 0.15 / 4 and 3 r + o = 1
+    # red, car and stop form a triangle; tree stands alone and its mass goes to all: r = 0.85 * (r + o / 4) + 0.15 / 4 and 3 r + o = 1
     o = (0.15 / 4) / (1 - 0.85 / 4)
     by = {r["word"]: r["score"] for r in rows if r["score"] is not None}
-    assert abs(by["okay"] - o) < 1e-4 and all(abs(by[w] - (1 - o) / 6) < 1e-4 for w in ("red", "car", "cars", "stop"))
+    assert abs(by["tree"] - o) < 1e-4 and all(abs(by[w] - (1 - o) / 6) < 1e-4 for w in ("red", "car", "cars", "stop"))
     assert sorted(r["phrase"] for r in wordgraph.keyword_runs(wordgraph.keyword_tokens(df, F.col("g"), F.col("i"), F.col("t"))).collect()) == ["red car", "red cars stop"]
 
 
