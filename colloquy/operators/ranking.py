@@ -142,9 +142,27 @@ def last_wins(phrases: DataFrame, by: list[str], value: str, order: list[str]) -
     return phrases.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def _trigrams(text: Column) -> Column:
+    """The distinct stretches of three letters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
 def phrase_offsets(phrases: DataFrame, segments: DataFrame, session: str) -> DataFrame:
-    """(``session``, ``phrase``, ``offset``): offset of the last segment of the session whose text holds the phrase."""
-    hit = phrases.select(session, "phrase").distinct().join(segments, session).where(F.position(F.col("phrase"), F.col("text")) > 0)
+    """(``session``, ``phrase``, ``offset``): offset of the last segment of the session whose text holds the phrase.
+
+    ``segments`` is (``session``, ``segment_no``, ``offset``, ``text``), one row per ``segment_no``. A phrase is looked up by the one of its three-letter
+    stretches that the fewest of the session's texts have; only these texts are searched, so that a long session is never
+    paired with all its phrases. Phrases of one or two letters are searched in every text. Empty phrases are in every text.
+    """
+    p = phrases.select(session, "phrase").where("phrase is not null").distinct()
+    index = segments.select(session, "segment_no", F.explode(_trigrams(F.col("text"))).alias("_t"))
+    common = index.groupBy(session, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    rare = p.where("length(phrase) > 2").select(session, "phrase", F.explode(_trigrams(F.col("phrase"))).alias("_t")).join(common, [session, "_t"], "left")
+    rarest = rare.groupBy(session, "phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t"))).alias("_m")).where("_m.n > 0")
+    near = rarest.select(session, "phrase", F.col("_m.t").alias("_t")).join(index, [session, "_t"]).select(session, "phrase", "segment_no")
+    short = p.where("length(phrase) <= 2").join(segments.select(session, "segment_no"), session).select(session, "phrase", "segment_no")
+    texts = segments.select("segment_no", "offset", "text")
+    hit = near.unionByName(short).join(texts, "segment_no").where(F.position(F.col("phrase"), F.col("text")) > 0)
     return hit.groupBy(session, "phrase").agg(F.max_by("offset", F.struct("segment_no")).alias("offset"))
 
 

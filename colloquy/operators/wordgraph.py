@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.tagging import _TOKEN, default_tag
 from colloquy.functions.text import STOP_WORDS, words
-from colloquy.runtime import cut
+from colloquy.runtime import broadcast_if_small, cut
 
 DAMPING = 0.85
 
@@ -50,16 +50,52 @@ def degree(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy("graph", F.col("src").alias("word")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, tol: float | None = None, checkpoint_every: int = 10) -> DataFrame:
+#: A graph of at most this many edges is iterated in one task's memory; a larger one by joins.
+LOCAL_EDGES = 1_000_000
+
+
+def _local_ranks(src: np.ndarray, dst: np.ndarray, iterations: int, tol: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Words and ranks of one graph whose edges are given once."""
+    nodes, code = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = code[: len(src)], code[len(src) :]
+    out, into, n = np.concatenate([a, b]), np.concatenate([b, a]), len(nodes)
+    deg, r = np.bincount(out, minlength=n), np.full(n, 1 / max(n, 1))
+    for _ in range(iterations):
+        new = (1 - DAMPING) / n + DAMPING * np.bincount(into, (r / deg)[out], n)
+        done = tol is not None and np.abs(new - r).sum() < n * tol
+        r = new
+        if done:
+            break
+    return nodes, r
+
+
+def pagerank(edges: DataFrame, iterations: int = 20, tol: float | None = None, checkpoint_every: int = 10, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(``graph``, ``word``, ``pagerank``) of each graph, unweighted, damping 0.85; sums to 1 per graph.
 
-    Fixed ``iterations``, or until the summed change of every graph is below its size times ``tol``. Every word has an
-    edge, so no mass dangles. Lineage is cut every few rounds.
+    Fixed ``iterations``, or until the summed change of a graph is below its size times ``tol``. Every word has an edge, so
+    no mass dangles. Graphs of at most ``local_edges`` edges (sessions) are iterated one a task; larger ones by joins on
+    (graph, word), all until the slowest is done, their lineage cut every few rounds.
     """
-    deg = degree(edges)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        words_, ranks = _local_ranks(pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str), iterations, tol)
+        return pd.DataFrame({"graph": key[0], "word": words_, "pagerank": ranks})
+
+    edges = cut(edges)
+    large = cut(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges).select("graph"))
+    if large.isEmpty():
+        return edges.groupBy("graph").applyInPandas(one, "graph string, word string, pagerank double")
+    few = broadcast_if_small(large)
+    small = edges.join(few, "graph", "left_anti").groupBy("graph").applyInPandas(one, "graph string, word string, pagerank double")
+    return small.unionByName(_joined_ranks(edges.join(few, "graph", "left_semi"), iterations, tol, checkpoint_every))
+
+
+def _joined_ranks(edges: DataFrame, iterations: int, tol: float | None, checkpoint_every: int) -> DataFrame:
+    deg = cut(degree(edges))
     n = deg.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    links = cut(symmetric(edges).join(deg.withColumnRenamed("word", "src"), ["graph", "src"]).join(n, "graph"))
-    ranks = links.select("graph", F.col("src").alias("word"), "n").distinct().withColumn("r", 1.0 / F.col("n"))
+    sized = deg.join(broadcast_if_small(n), "graph")  # one row per large graph
+    links = cut(symmetric(edges).join(sized.withColumnRenamed("word", "src"), ["graph", "src"]))
+    ranks = sized.select("graph", "word", "n", (1.0 / F.col("n")).alias("r"))
     for i in range(iterations):
         sent = links.join(ranks.select("graph", F.col("word").alias("src"), "r"), ["graph", "src"])
         new = sent.groupBy("graph", F.col("dst").alias("word")).agg(((1 - DAMPING) / F.max("n") + DAMPING * F.sum(F.col("r") / F.col("degree"))).alias("r"), F.max("n").alias("n"))

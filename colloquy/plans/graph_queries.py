@@ -82,7 +82,7 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_pagerank_sql(8) + " select r8.graph, r8.word, round(r / degree, 9) score from r8 join deg on deg.graph = r8.graph and deg.word = r8.word")
 def normalize_nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
+    e = cut(_edges(spark, d))
     return wordgraph.normalize_by_degree(wordgraph.pagerank(e, 8), wordgraph.degree(e)).select("graph", "word", F.round("score", 9).alias("score"))
 
 

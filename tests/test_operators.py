@@ -49,6 +49,9 @@ def test_word_graph_by_hand(spark):
     assert {r["degree"] for r in wordgraph.degree(e).collect()} == {3}
     ranks = wordgraph.pagerank(e, 30, 1e-6).collect()
     assert all(abs(r["pagerank"] - 0.25) < 1e-9 for r in ranks)
+    more = e.union(spark.createDataFrame([("h", "x", f"y{i}") for i in range(9)], "graph string, src string, dst string"))
+    by = {k: {(r["graph"], r["word"]): round(r["pagerank"], 9) for r in wordgraph.pagerank(more, 12, local_edges=k).collect()} for k in (0, 7, 1000)}
+    assert by[0] == by[7] == by[1000] and len(by[0]) == 14
     norm = wordgraph.normalize_by_degree(wordgraph.pagerank(e, 5), wordgraph.degree(e)).first()
     assert abs(norm["score"] - 0.083333) < 1e-5
     assert wordgraph.build_word_graph(df.limit(0), F.col("g"), F.col("t")).count() == 0

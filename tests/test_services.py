@@ -162,3 +162,12 @@ def test_requests(spark):
     assert rows(io.scorer_requests(df, F.col("a")), "id", "text", "speaker", "mind") == [("x", "t", None, "abc")]
     assert rows(io.topic_pim_groups(df, F.col("b")), "recording", "group") == [("r", "g")]
     assert rows(io.topic_pim_distances(df, F.col("b")), "recording", "distance") == [("r", 0.5)]
+
+
+def test_offsets_by_brute_force(spark):
+    texts = [("s", 1, "the red car and the red bus"), ("s", 2, "red"), ("s", 3, ""), ("t", 4, "a car"), ("s", 5, "scar"), ("u", 6, "xy")]
+    seg = spark.createDataFrame([(s, n, n * 10, t) for s, n, t in texts], "session string, segment_no long, offset long, text string")
+    p = [(s, w) for s in ("s", "t", "v") for w in ("red", "car", "e", "", "the red", "none", "red bus", None, "red")]
+    got = rows(ranking.phrase_offsets(spark.createDataFrame(p, "session string, phrase string"), seg, "session"), "session", "phrase", "offset")
+    exp = {(s, w): max(n * 10 for ss, n, t in texts if ss == s and w in t) for s, w in p if w is not None and any(ss == s and w in t for ss, n, t in texts)}
+    assert got == sorted(((s, w, o) for (s, w), o in exp.items()), key=repr)
