@@ -174,12 +174,15 @@ def score_zones(local_values: DataFrame, candidates: list[str], after: list[str]
     """
     zones = F.array_union(F.array(*[F.lit(z) for z in candidates]).cast("array<string>"), F.array_compact(F.array("_stated")))
     tried = local_values.withColumn("_zone", F.explode(zones))
-    utc = nearest(F.flatten(F.transform("_local", lambda x: local_readings(x, F.col("_zone")))), F.col("_anchor"))
     late = F.col("field").isin(after)
-    wrong = F.when(late, F.col("_u") < F.col("_anchor")).otherwise(F.col("_u") > F.col("_anchor"))
+    wrong = lambda u: F.coalesce(F.when(late, u < F.col("_anchor")).otherwise(u > F.col("_anchor")), F.lit(False))
+    # one wall-clock reading on the right side of its anchor needs no second look; the others take the nearest of all readings
+    tried = once(tried, _q=F.when(F.size("_local") == 1, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.get("_local", F.lit(0))), F.col("_zone")))))
+    every = nearest(F.flatten(F.transform("_local", lambda x: local_readings(x, F.col("_zone")))), F.col("_anchor"))
+    tried = once(tried, _u=F.when(F.col("_q").isNotNull() & ~wrong(F.col("_q")), F.col("_q")).otherwise(every))
     other = F.coalesce(F.col("_stated") != F.col("_zone"), F.lit(False)).cast("bigint") * weight
-    score = once(tried, _u=utc).groupBy("_stream", "_zone").agg(
-        F.sum(F.coalesce(wrong, F.lit(False)).cast("bigint") + other).alias("v"),
+    score = tried.groupBy("_stream", "_zone").agg(
+        F.sum(wrong(F.col("_u")).cast("bigint") + other).alias("v"),
         F.sum(F.coalesce(F.abs(F.col("_u") - F.col("_anchor")), F.lit(0)).cast("double")).alias("d"), F.count(F.lit(1)).alias("n"),
     )
     # a zone that only some rows of the stream state is tried on these alone; on the others it is violated by definition
