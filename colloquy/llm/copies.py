@@ -94,14 +94,25 @@ def hidden_copies(tables: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame
     return found
 
 
-def phrase_copies(keyphrases: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
-    """:func:`hidden_copies` of Keyphrase rows, Entity rows and published phrase records."""
+def _phrase_texts(keyphrases: DataFrame, entities: DataFrame, records: DataFrame) -> dict[str, tuple[DataFrame, str, Column]]:
     ids = ["contextId", "instanceId", "segmentId"]
     numbers = ["preference", "confidence_score"]
-    return hidden_copies(
-        {
-            "keyphrases": (keyphrases, "kp_id", canonical(keyphrases, ["originalForm"], ids, ["kp_id", "value"])),
-            "entities": (entities, "ent_id", canonical(entities, ["originalForm"], ids, ["ent_id", "value"])),
-            "phrase_records": (records, "record_id", canonical_json(F.col("payload"), ["originalForm"], ids, numbers)),
-        }
-    )
+    return {
+        "keyphrases": (keyphrases, "kp_id", canonical(keyphrases, ["originalForm"], ids, ["kp_id", "value"])),
+        "entities": (entities, "ent_id", canonical(entities, ["originalForm"], ids, ["ent_id", "value"])),
+        "phrase_records": (records, "record_id", canonical_json(F.col("payload"), ["originalForm"], ids, numbers)),
+    }
+
+
+def phrase_copies(keyphrases: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """:func:`hidden_copies` of Keyphrase rows, Entity rows and published phrase records."""
+    return hidden_copies(_phrase_texts(keyphrases, entities, records))
+
+
+def phrase_collisions(keyphrases: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """(``tab``, ``collisions``): how many 128-bit hashes of :func:`phrase_copies` stand for different texts."""
+    found = None
+    for name, (df, row_id, text) in _phrase_texts(keyphrases, entities, records).items():
+        one = colliding_hashes(count_copies(df, row_id, text)).agg(F.count(F.lit(1)).alias("collisions")).select(F.lit(name).alias("tab"), "collisions")
+        found = one if found is None else found.unionByName(one)
+    return found
