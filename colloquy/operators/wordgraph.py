@@ -5,7 +5,6 @@ Graphs are DataFrames: ``edges(graph, src, dst)`` with ``src < dst`` once per ed
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.tagging import _TOKEN, default_tag
-from colloquy.functions.text import STOP_WORDS, words
+from colloquy.functions.tagging import default_tag, pos_tag
+from colloquy.functions.text import STOP_WORDS, lemma, words
 from colloquy.runtime import broadcast_if_small, cut
 
 DAMPING = 0.85
@@ -35,9 +34,7 @@ def build_word_graph(df: DataFrame, graph: Column, text: Column, window: int = 4
     The neighbours come from slices of each row's own array, so only distinct edges are shuffled.
     """
     kept = df.select(graph.alias("graph"), F.filter(words(text), lambda w: ~w.isin(stop) & (F.length(w) > 1)).alias("w"))
-    pairs = [F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - k, F.lit(0))).alias("a"), F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias("b")) for k in range(1, window)]
-    both = kept.where("size(w) > 1").select("graph", F.inline(F.concat(*pairs))).where("a <> b")
-    return both.select("graph", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    return neighbour_edges(kept, F.col("w"), window)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -121,70 +118,53 @@ def normalize_by_degree(ranks: DataFrame, degrees: DataFrame) -> DataFrame:
 SYNTACTIC = {"JJ", "JJR", "JJS", "NN", "NNP", "NNS", "VB", "VBP", "NNPS", "FW"}
 
 
-def _singular(w: str) -> str:
-    """``text.lemma`` of one word."""
-    if len(w) < 4 or re.search("(?:ss|us|is)$", w):
-        return w
-    if w.endswith("ies"):
-        return w[:-3] + "y"
-    return w[:-2] if re.search("(?:sses|xes|ches|shes)$", w) else w.removesuffix("s")
-
-
-def _node_scores(n: int, pairs: set[tuple[int, int]]) -> np.ndarray:
-    """PageRank of ``n`` nodes by degree; the raw value of a node without neighbours, whose mass goes to all nodes."""
-    e = np.array(sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]}), dtype=np.int64).reshape(-1, 2)
-    src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-    deg = np.bincount(src, minlength=n)
-    over, r = np.maximum(deg, 1), np.full(n, 1 / max(n, 1))
-    for _ in range(100):
-        new = DAMPING * (np.bincount(dst, (r / over)[src], n) + r[deg == 0].sum() / n) + (1 - DAMPING) / n if n else r
-        done = np.abs(new - r).sum() < n * 1e-6
-        r = new
-        if done:
-            break
-    return r / over
+def neighbour_edges(texts: DataFrame, line: Column, window: int = 4) -> DataFrame:
+    """(``graph``, ``src``, ``dst``): what stands at distance 1..window-1 in a ``line`` (array) of a ``graph``; a set, without self edges."""
+    kept = texts.select("graph", line.alias("w"))
+    pairs = [F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - k, F.lit(0))).alias("a"), F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias("b")) for k in range(1, window)]
+    both = kept.where("size(w) > 1").select("graph", F.inline(F.concat(*pairs))).where("a <> b")
+    return both.select("graph", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def node_scores(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """(``graph``, ``word``, ``score``): PageRank over degree; the raw value of a node without neighbours, whose mass goes to all nodes.
+
+    The ranks of the connected nodes alone are those of the whole graph up to a factor: with n nodes, k of them alone and
+    damping d, one that is alone has r = (1 - d) / (n - d k), and the others m r / (1 - d) times their rank among the m.
+    """
+    edges = cut(edges)
+    ranks = pagerank(edges, 100, tol).join(degree(edges), ["graph", "word"])
+    joined = cut(nodes.select("graph", "word").distinct().join(ranks, ["graph", "word"], "left"))
+    sizes = joined.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"), F.count("degree").alias("_m"))
+    alone = (1 - DAMPING) / (F.col("_n") - DAMPING * (F.col("_n") - F.col("_m")))
+    own = F.col("_m") * alone / (1 - DAMPING) * F.col("pagerank") / F.col("degree")
+    return joined.join(broadcast_if_small(sizes), "graph").select("graph", "word", F.when(F.col("degree").isNull(), alone).otherwise(own).alias("score"))
 
 
-def keyword_tokens(df: DataFrame, graph: Column, text_id: Column, text: Column, tag: Callable[[str], str] = default_tag, window: int = 4, stop: list[str] = STOP_WORDS) -> DataFrame:
+def keyword_tokens(df: DataFrame, graph: Column, text_id: Column, text: Column, tag: Callable[[str], str] = default_tag, window: int = 4, stop: list[str] = STOP_WORDS, ranked: bool = True) -> DataFrame:
     """(``graph``, ``text_id``, ``pos``, ``word``, ``tag``, ``score``): every token, marked by the word graph of its graph.
 
     Nodes are the words with a tag of SYNTACTIC that are no stop words, plurals in their singular. ``tag`` is k for a node, p
     for a plural of a node, e for others; a plural without a node is left out. ``score`` is the node's degree-normalised
-    PageRank, null where a run of keywords breaks. One task per graph (a session).
+    PageRank (1 unless ``ranked``), null where a run of keywords breaks. Texts are tagged once; no task holds a graph's tokens. Null texts give nothing.
     """
-    common = set(stop)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tags: dict[str, str] = {}
-        at: dict[str, int] = {}
-        pairs: set[tuple[int, int]] = set()
-        texts = []
-        for i, t in zip(pdf["text_id"], pdf["text"], strict=True):
-            seen = []
-            for w in _TOKEN.findall(t):
-                if w not in tags:
-                    tags[w] = tag(w)
-                seen.append((w.lower(), tags[w]))
-            texts.append((i, seen))
-            line = [at.setdefault(_singular(w) if p == "NNS" else w, len(at)) for w, p in seen if p in SYNTACTIC and w not in common]
-            for k in range(1, window):
-                pairs.update(zip(line, line[k:]))  # noqa: B905
-        score = _node_scores(len(at), pairs).tolist()
-        rows = []
-        for i, seen in texts:
-            plural = {w for w, p in seen if p == "NNS"}
-            for pos, (w, _) in enumerate(seen):
-                if w in plural:
-                    if (node := _singular(w)) in at:
-                        rows.append((key[0], i, pos, w, "p", score[at[node]]))
-                elif w in at:
-                    rows.append((key[0], i, pos, w, "k", None if w in common else score[at[w]]))
-                else:
-                    rows.append((key[0], i, pos, w, "e", None))
-        return pd.DataFrame(rows, columns=["graph", "text_id", "pos", "word", "tag", "score"])
-
-    texts = df.select(graph.alias("graph"), text_id.alias("text_id"), text.alias("text")).where("text is not null")
-    return texts.groupBy("graph").applyInPandas(run, "graph string, text_id long, pos long, word string, tag string, score double").withColumn("score", F.nanvl("score", F.lit(None)))
+    none = F.lit("\x00")  # a null graph is a graph of its own
+    tagged = df.select(F.coalesce(graph, none).alias("graph"), text_id.alias("text_id"), pos_tag(text, tag).alias("t"), text.isNotNull().alias("_ok")).where("_ok")
+    common = F.array(*[F.lit(w) for w in stop])
+    low = lambda x: F.lower(x["tok"])
+    node = lambda x: F.when(x["pos"] == "NNS", lemma(low(x))).otherwise(low(x))
+    chosen = F.filter("t", lambda x: x["pos"].isin(*sorted(SYNTACTIC)) & ~F.array_contains(common, low(x)))
+    plural = F.array_distinct(F.transform(F.filter("t", lambda x: x["pos"] == "NNS"), low))
+    tagged = cut(tagged.select("graph", "text_id", F.transform("t", low).alias("words"), F.transform(chosen, node).alias("line"), plural.alias("plural")))
+    nodes = tagged.select("graph", F.explode("line").alias("word")).distinct()
+    scores = node_scores(nodes, neighbour_edges(tagged, F.col("line"), window)) if ranked else nodes.withColumn("score", F.lit(1.0))
+    tokens = tagged.select("graph", "text_id", "plural", F.posexplode("words").alias("pos", "word"))
+    tokens = tokens.select("graph", "text_id", "pos", "word", F.array_contains("plural", F.col("word")).alias("_p"))
+    tokens = tokens.withColumn("_node", F.when(F.col("_p"), lemma(F.col("word"))).otherwise(F.col("word")))
+    joined = tokens.join(scores.withColumnRenamed("word", "_node"), ["graph", "_node"], "left").where("not _p or score is not null")
+    kind = F.when(F.col("score").isNull(), "e").when(F.col("_p"), "p").otherwise("k")
+    score = F.when(F.col("_p") | ~F.array_contains(common, F.col("word")), F.col("score"))
+    return joined.select(F.when(F.col("graph") != none, F.col("graph")).alias("graph"), "text_id", F.col("pos").cast("bigint").alias("pos"), "word", kind.alias("tag"), score.alias("score"))
 
 
 def keyword_runs(tokens: DataFrame) -> DataFrame:

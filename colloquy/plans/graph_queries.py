@@ -96,9 +96,9 @@ def betweenness_closeness(spark: SparkSession, d: str) -> DataFrame:
     return wordgraph.centrality(_edges(spark, d))
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
-    """All tokens; those of the session's word graph with their degree-normalised PageRank as score."""
-    return wordgraph.keyword_tokens(_segments(spark, d), dashed(F.col("instanceId")), F.col("seg_row_id"), F.col("originalText"))
+def _marked(spark: SparkSession, d: str, ranked: bool = False) -> DataFrame:
+    """All tokens; those of the session's word graph have a score: ``ranked``, their degree-normalised PageRank."""
+    return wordgraph.keyword_tokens(_segments(spark, d), dashed(F.col("instanceId")), F.col("seg_row_id"), F.col("originalText"), ranked=ranked)
 
 
 def _words_sql(*tags: str) -> str:
@@ -134,9 +134,9 @@ def multi_keyterms(spark: SparkSession, d: str) -> DataFrame:
     return wordgraph.keyword_runs(_marked(spark, d)).select("text_id", "phrase", "start")
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
+def _runs(spark: SparkSession, d: str, ranked: bool = False) -> DataFrame:
     texts = _segments(spark, d).select(F.col("seg_row_id").alias("text_id"), dashed(F.col("instanceId")).alias("graph"))
-    return wordgraph.keyword_runs(_marked(spark, d)).join(texts, "text_id")
+    return wordgraph.keyword_runs(_marked(spark, d, ranked)).join(texts, "text_id")
 
 
 def _run_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _run_phrases(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
     """Sum and maximum of the words' degree-normalised PageRank per phrase."""
-    return wordgraph.run_scores(_runs(spark, d))
+    return wordgraph.run_scores(_runs(spark, d, ranked=True))
 
 
 @query(_RUNS + """, p as materialized (select distinct graph, phrase from rn where len(list_distinct(string_split(phrase, ' '))) = len(string_split(phrase, ' ')) and len(list_filter(string_split(phrase, ' '), lambda t: len(t) < 2)) = 0)
