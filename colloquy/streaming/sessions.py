@@ -47,21 +47,28 @@ def session_state(events: DataFrame, default_mind: str, idle_ms: int = 3_600_000
     return events.groupBy("session").applyInPandasWithState(step, LIFECYCLE, "mind string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Folders that stored edges are spread over by graph; a batch reads those of its own graphs.
+EDGE_BUCKETS = 64
+
+
 def merge_word_graph(path: str, window: int = 4) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: edges of new segments (``graph``, ``text``) that the stored set lacks are appended.
 
-    Edges are a set, so a replayed batch changes nothing.
+    Edges are a set, so a replayed batch changes nothing. The store is partitioned by bucket of the graph; only the buckets
+    of the batch's graphs are read.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = build_word_graph(batch, F.col("graph"), F.col("text"), window)
+        new = build_word_graph(batch, F.col("graph"), F.col("text"), window).withColumn("bucket", F.pmod(F.xxhash64("graph"), F.lit(EDGE_BUCKETS)))
+        buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most EDGE_BUCKETS
         try:
-            new = new.join(spark.read.parquet(path), ["graph", "src", "dst"], "left_anti")
+            stored = spark.read.parquet(path).where(F.col("bucket").isin(buckets))
+            new = new.join(stored.select("graph", "src", "dst"), ["graph", "src", "dst"], "left_anti")
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return run
 
