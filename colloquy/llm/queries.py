@@ -152,9 +152,9 @@ n as (select count(distinct b) n from s),
 c as (select item, count(*) n from i group by 1),
 p as (select a.item item_a, b.item item_b, count(*) n_together from i a join i b on a.b = b.b and a.item < b.item group by 1, 2 having count(*) >= 8)
 select item_a, item_b, n_together from p join c ca on ca.item = item_a join c cb on cb.item = item_b, n where n_together * n.n >= 12 * ca.n * cb.n""",
-    "p2_collisions": "select * from (values ('keyphrases', 0), ('entities', 0), ('phrase_records', 0)) v(tab, collisions)",
-    "p6_checks": "select 0 repeated, 0 same_speaker, 0 strangers",
-    "p7_checks": "select pack_name, (select count(distinct doc_id) from documents) documents, 0 overfull, 0 split, 0 uncovered from pack_sizes",
+    "p2_collisions": "select * from (values ('keyphrases', 0::bigint), ('entities', 0::bigint), ('phrase_records', 0::bigint)) v(tab, collisions)",
+    "p6_checks": "select 0::bigint repeated, 0::bigint same_speaker, 0::bigint strangers",
+    "p7_checks": "select pack_name, (select count(distinct doc_id) from documents) documents, 0::bigint overfull, 0::bigint split, 0::bigint uncovered from pack_sizes",
     "p8_checks": "select source, true on_target, true within_repeats from source_targets",
-    "p9_checks": "select 0 labels_lost, 0 strangers, 0 repeated",
+    "p9_checks": "select 0::bigint labels_lost, 0::bigint strangers, 0::bigint repeated",
 }
