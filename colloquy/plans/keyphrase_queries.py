@@ -165,7 +165,7 @@ def slice_phrases(spark: SparkSession, d: str) -> DataFrame:
     return _sliced(spark, d).select("session", "kind", "row_id", "rank")
 
 
-_API = ", mg as (select session, phrase, arg_max(loc, struct_pack(k := case when kind = 'keyphrase' then 1 else 0 end, r := rank, i := row_id)) loc from sl group by 1, 2)"
+_API = ", mg as (select session, phrase, arg_max(struct_pack(l := loc), struct_pack(k := case when kind = 'keyphrase' then 1 else 0 end, r := rank, i := row_id)).l loc from sl group by 1, 2)"
 
 
 @query(_CTE + _REL + _SLICE + _API + "select session, phrase, loc, row_number() over (partition by session order by loc, encode(phrase)) rank from mg")

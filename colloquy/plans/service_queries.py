@@ -315,7 +315,7 @@ def readd_removed(spark: SparkSession, d: str) -> DataFrame:
     return topics.readd_removed(s.where("size(split(t, ' ')) > 3").select("session", "segment", "group"), s, "session")
 
 
-@query(f"select session, grp \"group\", count(*) n, sum(len(coalesce(t, ''))) chars, arg_min(segment, segment) first from ({_FIVE}) group by 1, 2")
+@query(f"select session, grp \"group\", count(*) n, cast(sum(len(coalesce(t, ''))) as bigint) chars, arg_min(segment, segment) first from ({_FIVE}) group by 1, 2")
 def restore_text(spark: SparkSession, d: str) -> DataFrame:
     """Groups with their segments' original texts: their number, length and first segment."""
     s = table(spark, d, "segment_requests").where("instanceId is not null").select(dashed(F.col("instanceId")).alias("session"), F.col("seg_row_id").alias("segment"), (F.expr("seg_row_id div 5") * 5).alias("group"))
