@@ -213,10 +213,14 @@ def basic_tokenize(t: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(t, r"([\p{P}\p{S}])", " $1 ")), r"\s+"), lambda w: w != "")
 
 
+#: Runs of marks that stand apart.
+MARK_RUNS = r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)"
+
+
 def text_standardize(t: Column) -> Column:
     """Dashes and ellipses unified, runs of punctuation set apart by blanks, white space collapsed."""
     t = F.regexp_replace(F.regexp_replace(t, "[—–―]", "-"), "…", "...")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)", " $1 "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, MARK_RUNS, " $1 "), r"\s+", " "))
 
 
 def url_domain(t: Column) -> Column:

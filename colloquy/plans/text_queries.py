@@ -80,7 +80,7 @@ _each("clean_word", text.clean_word, "trim(regexp_replace(originalText, '[^A-Za-
 _each("strip_accents", text.strip_accents, "strip_accents(originalText)")
 _BASIC = f"strip_accents(lower(regexp_replace(originalText, '{text.IDEOGRAPH}', ' \\1 ', 'g')))"
 _each("basic_tokenize", lambda t: F.array_join(text.basic_tokenize(t), " "), f"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace({_BASIC}, '([\\p{{P}}\\p{{S}}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''), ' ')")
-_each("text_standardize", text.text_standardize)
+_each("text_standardize", text.text_standardize, f"trim(regexp_replace(regexp_replace(replace(regexp_replace(originalText, '[—–―]', '-', 'g'), '…', '...'), '{text.MARK_RUNS}', ' \\1 ', 'g'), '\\s+', ' ', 'g'))")
 _each("fix_apostrophes", text.fix_apostrophes, "replace(originalText, ' ''', '''')")
 _each("first_upper", text.first_upper, "upper(substr(originalText, 1, 1)) || substr(originalText, 2)", "originalText <> ''")
 _each("url_domain", text.url_domain, "regexp_extract(regexp_replace(regexp_replace(lower(originalText), '\\s+dot\\s+', '.', 'g'), '\\s+slash\\s+', '/', 'g'), '^(?:https?://)?(?:www\\.)?([^/\\s]+)', 1)")
@@ -133,7 +133,8 @@ _sentence("udf_ai_prob", actions.action_score, f"cast({_SCORE} as double)")
 _sentence("ai_response_filter", actions.substantial, _SUBST)
 _sentence("ai_candidates", lambda s: actions.is_action_item(s, actions.action_subjects(s)))
 _sentence("ai_assignee", actions.assignee, f"cast(case when ({_COMBINED} and not {_FIRST} and not {_SECOND}) or ({_FIRST} and {_SECOND}) then 2 else 0 end as bigint)")
-_sentence("lemmatize", lambda s: F.array_join(F.transform(text.words(s), text.lemma), " "))
+_LEMMA = "case when len(w) < 4 or regexp_matches(w, '(?:ss|us|is)$') then w when w like '%ies' then w[:-4] || 'y' when regexp_matches(w, '(?:sses|xes|ches|shes)$') then w[:-3] when w like '%s' then w[:-2] else w end"
+_sentence("lemmatize", lambda s: F.array_join(F.transform(text.words(s), text.lemma), " "), f"array_to_string(list_transform(regexp_extract_all(lower(s), '[a-z]+'), lambda w: {_LEMMA}), ' ')")
 _sentence("gs_preprocess_filter", lambda s: text.word_count(s) > 10, f"{_WC} > 10")
 
 
