@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from colloquy.functions.vectors import cosine
 
@@ -142,27 +146,79 @@ def last_wins(phrases: DataFrame, by: list[str], value: str, order: list[str]) -
     return phrases.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def _trigrams(text: Column) -> Column:
-    """The distinct stretches of three letters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+#: Texts of a session that one task reads, and its phrases that are looked up there; longer sessions go in shares.
+TEXTS, PHRASES = 50_000, 200_000
+
+
+def _stretches(text: bytes) -> set[bytes]:
+    """The distinct stretches of three bytes; of a shorter text the empty one."""
+    return {text[i : i + 3] for i in range(len(text) - 2)} or {b""}
+
+
+def _last_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every group the phrases with the number and offset of the first text that holds them.
+
+    Columns: group (3), is_text, value, segment_no, offset. A group's phrases come first, then its texts, last one first.
+    A phrase waits under the one of its stretches that the fewest of the phrases have, until a text holds it.
+    """
+    group, phrases, waiting = None, [], None
+    for batch in batches:
+        at, found = [], []
+        session, share, part, is_text, value = (c.to_pylist() for c in batch.columns[:5])
+        for i, key in enumerate(zip(session, share, part, strict=True)):
+            if key != group:
+                group, phrases, waiting = key, [], None
+            if not is_text[i]:
+                phrases.append(value[i])
+                continue
+            if waiting is None:
+                counts, waiting = Counter(t for p in phrases for t in _stretches(p)), {}
+                for p in phrases:
+                    waiting.setdefault(min(_stretches(p), key=counts.__getitem__), []).append(p)
+                phrases = []
+            if not waiting:
+                continue
+            for t in waiting.keys() & (_stretches(value[i]) | {b""}):
+                held = [p for p in waiting[t] if p in value[i]]
+                if held:
+                    at += [i] * len(held)
+                    found += held
+                    waiting[t] = [p for p in waiting[t] if p not in value[i]]
+                    if not waiting[t]:
+                        del waiting[t]
+        if at:
+            hits = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hits.column(0), pa.array(found, pa.binary()), hits.column(5), hits.column(6)], ["session", "phrase", "segment_no", "offset"])
 
 
 def phrase_offsets(phrases: DataFrame, segments: DataFrame, session: str) -> DataFrame:
     """(``session``, ``phrase``, ``offset``): offset of the last segment of the session whose text holds the phrase.
 
-    ``segments`` is (``session``, ``segment_no``, ``offset``, ``text``), one row per ``segment_no``. A phrase is looked up by the one of its three-letter
-    stretches that the fewest of the session's texts have; only these texts are searched, so that a long session is never
-    paired with all its phrases. Phrases of one or two letters are searched in every text. Empty phrases are in every text.
+    ``segments`` is (``session``, ``segment_no``, ``offset``, ``text``), one row per ``segment_no``. Texts and distinct phrases travel to
+    their session once, as they are; there the texts pass by, last one first, and a phrase that was found is done. Sessions of
+    more than ``TEXTS`` texts or ``PHRASES`` phrases go in shares, every share of texts meeting every share of phrases.
+    Empty phrases are in every text.
     """
-    p = phrases.select(session, "phrase").where("phrase is not null").distinct()
-    index = segments.select(session, "segment_no", F.explode(_trigrams(F.col("text"))).alias("_t"))
-    common = index.groupBy(session, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    rare = p.where("length(phrase) > 2").select(session, "phrase", F.explode(_trigrams(F.col("phrase"))).alias("_t")).join(common, [session, "_t"], "left")
-    rarest = rare.groupBy(session, "phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t"))).alias("_m")).where("_m.n > 0")
-    near = rarest.select(session, "phrase", F.col("_m.t").alias("_t")).join(index, [session, "_t"]).select(session, "phrase", "segment_no")
-    short = p.where("length(phrase) <= 2").join(segments.select(session, "segment_no"), session).select(session, "phrase", "segment_no")
-    texts = segments.select("segment_no", "offset", "text")
-    hit = near.unionByName(short).join(texts, "segment_no").where(F.position(F.col("phrase"), F.col("text")) > 0)
+    p = phrases.select(session, "phrase").where(F.col(session).isNotNull() & F.col("phrase").isNotNull()).distinct()
+    s = segments.select(session, "segment_no", "offset", "text").where(F.col(session).isNotNull() & F.col("text").isNotNull())
+
+    def shares(rows: DataFrame, most: int, name: str) -> DataFrame:  # at most one row in ``most``
+        many = rows.groupBy(session).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > most)
+        return F.broadcast(many.select(session, F.ceil(F.col("_c") / most).cast("int").alias(name)))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        both = rows.join(shares(s, TEXTS, "_s"), session, "left").join(shares(p, PHRASES, "_p"), session, "left")
+        return both.withColumns({n: F.coalesce(n, F.lit(1)) for n in ("_s", "_p")})
+
+    one = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = [F.lit(None).cast(s.schema[n].dataType).alias(n) for n in ("segment_no", "offset")]
+    asked = dealt(p).select(session, each("_s").alias("_share"), one("phrase", F.col("_p")).alias("_part"), F.lit(False).alias("_text"), F.col("phrase").cast("binary").alias("_v"), *none)
+    told = dealt(s).select(session, one("segment_no", F.col("_s")).alias("_share"), each("_p").alias("_part"), F.lit(True).alias("_text"), F.col("text").cast("binary").alias("_v"), "segment_no", "offset")
+    key = [session, "_share", "_part"]
+    ordered = asked.unionByName(told).repartition(*key).sortWithinPartitions(*key, "_text", F.desc("segment_no"))
+    types = [StructField(n, t) for n, t in (("session", s.schema[session].dataType), ("phrase", BinaryType()), ("segment_no", s.schema["segment_no"].dataType), ("offset", s.schema["offset"].dataType))]
+    hit = ordered.mapInArrow(_last_texts, StructType(types)).select(F.col("session").alias(session), F.col("phrase").cast("string").alias("phrase"), "segment_no", "offset")
     return hit.groupBy(session, "phrase").agg(F.max_by("offset", F.struct("segment_no")).alias("offset"))
 
 

@@ -171,3 +171,35 @@ def test_offsets_by_brute_force(spark):
     got = rows(ranking.phrase_offsets(spark.createDataFrame(p, "session string, phrase string"), seg, "session"), "session", "phrase", "offset")
     exp = {(s, w): max(n * 10 for ss, n, t in texts if ss == s and w in t) for s, w in p if w is not None and any(ss == s and w in t for ss, n, t in texts)}
     assert got == sorted(((s, w, o) for (s, w), o in exp.items()), key=repr)
+
+
+def test_offsets_of_sessions_in_shares_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TEXTS", 4, raising=False)
+    monkeypatch.setattr(ranking, "PHRASES", 3, raising=False)
+    said = ["naïve Zoë met the cat", "東京 in the sun", "a\u200bb c", "the sun", "ab", "", None]
+    texts = [("s" if i % 5 else "t", i * 31 % 50, said[i % 7]) for i in range(50)] + [(None, 77, "the sun")]
+    seg = spark.createDataFrame([(s, n, f"o{n}", t) for s, n, t in texts], "session string, segment_no int, offset string, text string")
+    p = [(s, w) for s in ("s", "t", "v", None) for w in ("the", "sun", "the sun", "sun ", "e", "ab", "b", "京", "東京 in", "Zoë", "oë m", "\u200b", "", "cat", "cats", "the cat", "abc", None, "sun")]
+    got = rows(ranking.phrase_offsets(spark.createDataFrame(p, "session string, phrase string"), seg, "session"), "session", "phrase", "offset")
+    exp = {}
+    for s, w in p:
+        held = [n for ss, n, t in texts if None not in (s, w, t) and ss == s and w in t]
+        if held:
+            exp[s, w] = f"o{max(held)}"
+    assert got == sorted(((s, w, o) for (s, w), o in exp.items()), key=repr)
+
+
+def test_offsets_shuffle_about_as_much_as_the_texts(spark):
+    """Every text travels once, not once for each of its stretches."""
+    texts = [(f"s{i % 40}", i, " ".join(f"w{i * k * 7919 % 9973}" for k in range(2, 32))) for i in range(2000)]
+    seg = spark.createDataFrame([(s, n, n, t) for s, n, t in texts], "session string, segment_no long, offset long, text string")
+    p = spark.createDataFrame([(s, t[:20]) for s, _, t in texts], "session string, phrase string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(sc.statusStore().executorList(False)))
+
+    before = written()
+    assert ranking.phrase_offsets(p, seg, "session").count() == 2000
+    assert 0 < written() - before < 2 * sum(len(t) for _, _, t in texts)
