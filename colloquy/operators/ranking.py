@@ -147,19 +147,31 @@ def last_wins(phrases: DataFrame, by: list[str], value: str, order: list[str]) -
 
 
 #: Texts of a session that one task reads, and its phrases that are looked up there; longer sessions go in shares.
-TEXTS, PHRASES = 50_000, 200_000
+TEXTS, PHRASES = 50_000, 50_000
 
+#: Bytes of the stretch by which a phrase is looked up, long enough to reach from one word into the next.
+STRETCH = 6
 
-def _stretches(text: bytes) -> set[bytes]:
-    """The distinct stretches of three bytes; of a shorter text the empty one."""
-    return {text[i : i + 3] for i in range(len(text) - 2)} or {b""}
+
+def _stretches(text: bytes, size: int) -> set[bytes]:
+    return {text[i : i + size] for i in range(len(text) - size + 1)}
+
+
+def _by_rarest_stretch(phrases: list[bytes]) -> dict[int, dict[bytes, list[bytes]]]:
+    """By size and stretch the phrases, each under the one of its stretches that the fewest have; one below ``STRETCH`` bytes under itself."""
+    counts = Counter(t for p in phrases for t in _stretches(p, STRETCH))
+    out: dict[int, dict[bytes, list[bytes]]] = {}
+    for p in phrases:
+        t = min(_stretches(p, STRETCH), key=counts.__getitem__, default=p)
+        out.setdefault(len(t), {}).setdefault(t, []).append(p)
+    return out
 
 
 def _last_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every group the phrases with the number and offset of the first text that holds them.
 
     Columns: group (3), is_text, value, segment_no, offset. A group's phrases come first, then its texts, last one first.
-    A phrase waits under the one of its stretches that the fewest of the phrases have, until a text holds it.
+    A phrase waits under its stretch until a text holds it.
     """
     group, phrases, waiting = None, [], None
     for batch in batches:
@@ -172,20 +184,16 @@ def _last_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 phrases.append(value[i])
                 continue
             if waiting is None:
-                counts, waiting = Counter(t for p in phrases for t in _stretches(p)), {}
-                for p in phrases:
-                    waiting.setdefault(min(_stretches(p), key=counts.__getitem__), []).append(p)
-                phrases = []
-            if not waiting:
-                continue
-            for t in waiting.keys() & (_stretches(value[i]) | {b""}):
-                held = [p for p in waiting[t] if p in value[i]]
-                if held:
-                    at += [i] * len(held)
-                    found += held
-                    waiting[t] = [p for p in waiting[t] if p not in value[i]]
-                    if not waiting[t]:
-                        del waiting[t]
+                phrases, waiting = [], _by_rarest_stretch(phrases)
+            for size, by in waiting.items():
+                for t in by.keys() & _stretches(value[i], size) if by else ():
+                    held = [p for p in by[t] if p in value[i]]
+                    if held:
+                        at += [i] * len(held)
+                        found += held
+                        by[t] = [p for p in by[t] if p not in value[i]]
+                        if not by[t]:
+                            del by[t]
         if at:
             hits = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([hits.column(0), pa.array(found, pa.binary()), hits.column(5), hits.column(6)], ["session", "phrase", "segment_no", "offset"])
